@@ -97,14 +97,14 @@ class LineRuns:
 
 
 def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
-    """doc_id, drops: the hashes of the keys that a document loses (documents that lose none are absent)."""
+    """doc_id, __drops: the hashes of the keys that a document loses (documents that lose none are absent)."""
     store, keys = LineRuns(docs.sparkSession, fanout, min_chars), []
     part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     for b in range(batches):
         keys.append(store.add(docs.select("doc_id", "text").where(part == b)))
     repeated = store.repeated(min_docs).select("h1", "h2", "max_doc")
     lost = union_all(keys).join(repeated.hint("merge"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
-    return lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
+    return lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("__drops"))
 
 
 def drop_repeated(
@@ -115,21 +115,21 @@ def drop_repeated(
     fanout: int = FANOUT,
 ) -> DataFrame:
     """``docs`` with its columns, the text without repeated lines, and n_lines, n_dropped after them."""
-    drops = repeated_keys(docs, min_chars, min_docs, batches, fanout).withColumnRenamed("doc_id", "drop_id")
-    joined = docs.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
+    drops = repeated_keys(docs, min_chars, min_docs, batches, fanout).withColumnRenamed("doc_id", "__drop_id")
+    joined = docs.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__drop_id")), "left")
     lines = F.split(text_or_empty(), "\n")
 
     def stays(line: Column) -> Column:
         key = line_key(line)
-        return (F.length(key) < min_chars) | ~F.array_contains(F.col("drops"), key_hash(key))
+        return (F.length(key) < min_chars) | ~F.array_contains(F.col("__drops"), key_hash(key))
 
-    kept = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, stays))
-    rest = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "kept")]
-    out = joined.select(*rest, F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
+    kept = F.when(F.col("__drops").isNull(), lines).otherwise(F.filter(lines, stays))
+    rest = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    out = joined.select(*rest, F.size(lines).cast("long").alias("n_lines"), kept.alias("__kept"))
     return out.select(
-        *[F.array_join("kept", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")],
+        *[F.array_join("__kept", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
         "n_lines",
-        (F.col("n_lines") - F.size("kept")).alias("n_dropped"),
+        (F.col("n_lines") - F.size("__kept")).alias("n_dropped"),
     )
 
 

@@ -207,7 +207,7 @@ def op7(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component; rows that repeat its id count as copies too."""
-    gone = link(docs.select("doc_id", "text"), width, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = link(docs.select("doc_id", "text"), width, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     columns = docs.columns
-    left = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    left = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
     return left.select(*columns)
