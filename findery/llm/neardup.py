@@ -9,14 +9,16 @@ and the share of equal coordinates estimates the Jaccard similarity with concent
    ``BANDS`` band hashes. Documents with equal sets are one *class*, represented by its smallest doc_id.
 2. Banding: classes that share a band hash are candidates. At 0.8, 32 bands of 4 miss a pair with
    probability (1 - 0.8^4)^32 < 5e-8.
-3. Every member of a bucket is verified, on full sets, against the bucket's smallest member: a bucket of n
-   costs n - 1 pairs, not n^2. Confirmed links give components.
-4. Where members of one bucket still lie in different components, those outside the bucket's largest
-   component are paired with all members of other components; pairs whose sketches put them out of reach
-   (``SKETCH_LEAST``, over five deviations below the threshold) go, the rest is verified on full sets and joins the
-   components. After this every candidate pair is either in one component or was checked.
-
-So no bucket is capped and no link is lost but by the chance in 2. No groups are collected: buckets and components
+3. Every member of a bucket is verified, on full sets, against the bucket's most central member (the one whose
+   buckets hold the most documents: in a group of near copies that is what they are copies of). A bucket of n costs
+   n - 1 pairs, not n^2. Confirmed links give components.
+4. Buckets that share members form a *cluster*. Where a cluster still has several components, its members outside the
+   largest one are searched, on full sets, against all members of other components: blocks of at most ``SEARCH_BLOCK`` rows
+   a side meet by (cluster, block, block) and an inverted index of shingles counts the intersections, so pairs are not made
+   and only confirmed links come out, one for each component. After this every candidate pair is either in one component
+   or was checked.
+
+So no bucket is capped and no link is lost but by the chance in 2. No groups are collected: buckets, clusters and components
 are aggregated with map-side combine and joined by sort-merge joins that AQE may split.
 
 Defined results: null, empty or wordless texts have no shingles and are linked with nothing; a text with
@@ -40,8 +42,7 @@ BANDS = 32
 ROWS = T // BANDS
 WIDTH = 5
 PERCENT = 80
-#: Least share of equal coordinates for a pair to be verified in step 4, as a count of T.
-SKETCH_LEAST = 77
+SEARCH_BLOCK = 1024
 CHUNK_BYTES = 1 << 20
 _GOLD = 0x9E3779B97F4A7C15
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -136,12 +137,31 @@ def full_sets(src: DataFrame, width: int) -> DataFrame:
     return src.mapInArrow(run, "id long, items array<long>")
 
 
-def alike(batches):
-    """Pairs (u, v, a, b) of documents and sketches -> pairs that may reach the threshold."""
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, T) for c in (2, 3))
-        keep = (x == y).sum(1) >= SKETCH_LEAST
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in (0, 1)], names=["u", "v"])
+def search(percent: int):
+    """Cogrouped blocks of (id, comp, items) -> confirmed links (u, v) between different components."""
+
+    def run(asks: pa.Table, members: pa.Table) -> pa.Table:
+        u, v = [], []
+        if len(asks) and len(members):
+            ids, comps = (members.column(c).to_numpy() for c in ("m_id", "m_comp"))
+            col = members.column("m_items").combine_chunks()
+            flat, sizes = col.flatten().to_numpy(), np.diff(col.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(ids)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for i, comp, items in zip(asks.column("id").to_pylist(), asks.column("comp").to_pylist(), asks.column("items"), strict=True):
+                mine = np.asarray(items.values)
+                low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+                n = high - low
+                place = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                common = np.bincount(owner[place], minlength=len(ids))
+                near = np.flatnonzero((100 * common >= percent * (len(mine) + sizes - common)) & (comps != comp))
+                _, first = np.unique(comps[near], return_index=True)
+                u += [i] * len(first)
+                v += ids[near[first]].tolist()
+        return pa.Table.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -154,6 +174,25 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("u", "v")
 
 
+def between(pairs: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Step 4: the links that join different components of one cluster."""
+    of = lambda r, name: r.select(F.col("node").alias("id"), F.col("root").alias(name)).hint("merge")
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    placed = ids.join(of(components(pairs), "c"), "id", "left").join(of(roots, "r"), "id", "left")
+    placed = materialise(placed.select("id", F.coalesce("c", "id").alias("cluster"), F.coalesce("r", "id").alias("comp")), "placed")
+    sizes = placed.groupBy("cluster", "comp").agg(F.count("*").alias("size"))
+    split = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("size", "comp")).alias("major"), F.count("*").alias("comps"), F.sum("size").alias("all"), F.max("size").alias("most"))
+    blocks = lambda n: F.ceil(n / F.lit(SEARCH_BLOCK)).cast("int")
+    split = split.where("comps > 1").select("cluster", "major", blocks(F.col("all")).alias("n_all"), blocks(F.col("all") - F.col("most")).alias("n_asks"))
+    members = placed.join(split.hint("merge"), "cluster").join(sets.hint("merge"), "id")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = members.where("comp <> major").select("cluster", own("n_asks").alias("a"), every("n_all").alias("b"), "id", "comp", "items")
+    new = lambda *names: [F.col(c).alias(f"m_{c}") for c in names]
+    held = members.select(*new("cluster"), every("n_asks").alias("m_a"), own("n_all").alias("m_b"), *new("id", "comp", "items"))
+    return asks.groupBy("cluster", "a", "b").cogroup(held.groupBy("m_cluster", "m_a", "m_b")).applyInArrow(search(percent), "u long, v long").distinct()
+
+
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept for every row."""
     src = _source(docs, id_col, text_col)
@@ -162,35 +201,22 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: st
     classes = sig.where("n > 0").groupBy(*same).agg(F.min("id").alias("rep"))
     in_class = sig.select("id", *same).where("n > 0").join(classes.hint("merge"), same)
     reps = sig.where("n > 0").join(classes.where("rep is not null").withColumnRenamed("rep", "id").hint("merge"), [*same, "id"])
-    rows = reps.select("id", F.explode("bands").alias("band")).groupBy("band", "id").agg(F.lit(1).alias("one"))
-    rows = rows.select("band", "id")
-    crowded = rows.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
-    members = materialise(rows.join(crowded.select("band", "lead").hint("merge"), "band"), "members")
-    asked = members.select(F.col("id")).distinct()
+    rows = reps.select("id", F.explode("bands").alias("band")).distinct()
+    crowded = rows.groupBy("band").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    rows = materialise(rows.join(crowded.hint("merge"), "band"), "rows")
+    central = rows.groupBy("id").agg(F.sum("crowd").alias("central"))
+    placed = rows.join(central.hint("merge"), "id")
+    leads = placed.groupBy("band").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("lead"))
+    pairs = rows.join(leads.hint("merge"), "band").where("id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct()
+    pairs = materialise(pairs, "pairs")
+    asked = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     sets = materialise(full_sets(src.join(asked.hint("merge"), "id", "left_semi"), width), "sets")
-
-    first = materialise(
-        verify(members.where("id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct(), sets, percent).distinct(), "links"
-    )
+    first = materialise(verify(pairs, sets, percent).distinct(), "links")
     roots = components(first)
-
-    placed = members.select("band", "id").join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left")
-    placed = placed.select("band", "id", F.coalesce("root", "id").alias("comp"))
-    by_comp = placed.groupBy("band", "comp").agg(F.count("*").alias("size"))
-    split = by_comp.groupBy("band").agg(F.max_by("comp", F.struct("size", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1")
-    placed = materialise(placed.join(split.select("band", "major").hint("merge"), "band"), "split")
-    minor = placed.where("comp <> major").select(F.col("band").alias("b"), F.col("id").alias("u"), F.col("comp").alias("c"))
-    pairs = minor.join(placed.hint("merge"), (F.col("b") == F.col("band")) & (F.col("c") != F.col("comp")))
-    pairs = pairs.where((F.col("comp") == F.col("major")) | (F.col("u") < F.col("id"))).select("u", F.col("id").alias("v"))
-    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    sk = sig.select("id", "sketch").join(asked.hint("merge"), "id", "left_semi")
-    pairs = pairs.join(sk.select(F.col("id").alias("u"), F.col("sketch").alias("a")).hint("merge"), "u")
-    pairs = pairs.join(sk.select(F.col("id").alias("v"), F.col("sketch").alias("b")).hint("merge"), "v")
-    pairs = pairs.select("u", "v", "a", "b").mapInArrow(alike, "u long, v long")
-    second = materialise(verify(pairs, sets, percent).distinct(), "links")
+    second = materialise(between(pairs, roots, sets, percent), "links")
     if second.limit(1).count():
         roots = components(first.union(second))
-    for done in (members, sets, placed):
+    for done in (rows, pairs, sets):
         discard(done)
 
     known = in_class.select("id", "n", "rep").join(roots.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left")

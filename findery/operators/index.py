@@ -49,7 +49,12 @@ def documents(docs: DataFrame, spellings: dict[str, str] | None = None, intents:
 
 def postings(docs: DataFrame, spellings: dict[str, str] | None = None) -> DataFrame:
     """term, doc_id, and the term's frequency in title, body, url and all: one shuffle by (term, doc_id)."""
-    tagged = F.concat(*[F.transform(text.tokenize(F.coalesce(F.col(src), F.lit("")), spellings), lambda t, f=f: F.struct(t.alias("term"), F.lit(f).alias("field"))) for f, src in zip(FIELDS, ("title", "text", "url"), strict=True)])
+
+    def tagged_tokens(field: str, column: str) -> Column:
+        tokens = text.tokenize(F.coalesce(F.col(column), F.lit("")), spellings)
+        return F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(field).alias("field")))
+
+    tagged = F.concat(*[tagged_tokens(f, c) for f, c in zip(FIELDS, ("title", "text", "url"), strict=True)])
     rows = docs.select("doc_id", F.explode(tagged).alias("x")).select("doc_id", "x.term", "x.field")
     by_field = [F.count(F.when(F.col("field") == f, 1)).cast("int").alias(f"{f}_frequency") for f in FIELDS]
     return rows.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("term_frequency"), *by_field)

@@ -63,7 +63,7 @@ post AS (SELECT term, doc_id, count(*)::INT AS term_frequency, (count(*) FILTER
 df AS (SELECT term, count(*)::BIGINT AS document_frequency FROM post GROUP BY term),
 len AS (SELECT c.doc_id, coalesce(sum(title_frequency), 0) AS lt, coalesce(sum(body_frequency), 0) AS lb, coalesce(sum(url_frequency), 0) AS lu
   FROM corpus c LEFT JOIN post p USING (doc_id) GROUP BY c.doc_id),
-stats AS (SELECT count(*) AS n, greatest(coalesce(avg(lt), 0), 1.0) AS at, greatest(coalesce(avg(lb), 0), 1.0) AS ab, greatest(coalesce(avg(lu), 0), 1.0) AS au FROM len)"""
+stats AS (SELECT count(*) AS n, greatest(coalesce(avg(lt), 0), 1.0) AS s_t, greatest(coalesce(avg(lb), 0), 1.0) AS s_b, greatest(coalesce(avg(lu), 0), 1.0) AS s_u FROM len)"""
 
 
 def weights() -> str:
@@ -73,8 +73,8 @@ def weights() -> str:
 def bm25(name: str, w: str, limit: int = 750) -> str:
     return f"""{name}_all AS (SELECT qid, doc_id, sum(weight * ln(1 + (n - document_frequency + 0.5) / (document_frequency + 0.5)) * tf * 2.2 / (tf + 1.2)) AS score
   FROM (SELECT w.qid, p.doc_id, w.weight, d.document_frequency, s.n,
-      2.6 * p.title_frequency / greatest(0.05, 0.65 + 0.35 * lt / s.at) + p.body_frequency / greatest(0.05, 0.25 + 0.75 * lb / s.ab)
-      + 1.8 * p.url_frequency / greatest(0.05, 0.8 + 0.2 * lu / s.au) AS tf
+      2.6 * p.title_frequency / greatest(0.05, 0.65 + 0.35 * lt / s.s_t) + p.body_frequency / greatest(0.05, 0.25 + 0.75 * lb / s.s_b)
+      + 1.8 * p.url_frequency / greatest(0.05, 0.8 + 0.2 * lu / s.s_u) AS tf
     FROM {w} w JOIN post p USING (term) JOIN df d USING (term) JOIN len l ON l.doc_id = p.doc_id CROSS JOIN stats s WHERE w.weight > 0) GROUP BY ALL),
 {name} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM {name}_all QUALIFY rank <= {limit})"""
 

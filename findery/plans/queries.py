@@ -65,7 +65,7 @@ def text_digests(spark, sf):
 def snippet_first_match(spark, sf):
     """X5, X6, X17"""
     terms = F.array(F.lit("estion"), F.lit("ndtion"))
-    return tables.corpus(spark, sf).select("doc_id", text.snippet(F.col("text"), terms).alias("snippet"))
+    return text.with_snippet(tables.corpus(spark, sf), F.col("text"), terms).select("doc_id", "snippet")
 
 
 # --- index --------------------------------------------------------------------------------------------------
@@ -83,7 +83,7 @@ def term_df(spark, sf):
     return tables.corpus_index(spark, sf).terms
 
 
-@query(f"WITH {o.index()} SELECT n::BIGINT AS n_docs, round(at, 6) AS avg_title, round(ab, 6) AS avg_body, round(au, 6) AS avg_url FROM stats")
+@query(f"WITH {o.index()} SELECT n::BIGINT AS n_docs, round(s_t, 6) AS avg_title, round(s_b, 6) AS avg_body, round(s_u, 6) AS avg_url FROM stats")
 def collection_stats(spark, sf):
     """A1"""
     return index.collection_stats(tables.corpus_index(spark, sf).documents).select("n_docs", _r("avg_title").alias("avg_title"), _r("avg_body").alias("avg_body"), _r("avg_url").alias("avg_url"))
@@ -317,7 +317,7 @@ def host_saturation(spark, sf):
 
 
 @query(
-    "SELECT page_id, regexp_replace(trim(html_unescape(regexp_extract(html, '<title>(.*?)</title>', 1))), '\\s+', ' ', 'g') AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS html_lang FROM pages".replace("html_unescape", "")
+    "SELECT page_id, regexp_replace(trim(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')), '\\s+', ' ', 'g') AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS html_lang FROM pages"
 )
 def html_title(spark, sf):
     """Y9, Y11, S13"""
@@ -339,14 +339,14 @@ def link_edges(spark, sf):
 
 
 @query(
-    "WITH l AS (SELECT 'u' || (l_suppkey % 10) AS s, 'u' || (l_partkey % 10) AS t, 'a' || l_linenumber AS anchor, l_shipdate::TIMESTAMP AS at FROM lineitem) SELECT s AS source_url, t AS target_url,"
-    " arg_max(anchor, {'a': at, 'b': anchor}) AS anchor_text, epoch(max(at))::BIGINT AS at FROM l WHERE s <> t GROUP BY ALL"
+    "WITH l AS (SELECT 'u' || (l_suppkey % 10) AS s, 'u' || (l_partkey % 10) AS t, 'a' || l_linenumber AS anchor, l_shipdate::TIMESTAMP AS seen FROM lineitem) SELECT s AS source_url, t AS target_url,"
+    " arg_max(anchor, {'a': seen, 'b': anchor}) AS anchor_text, epoch(max(seen))::BIGINT AS last_seen FROM l WHERE s <> t GROUP BY ALL"
 )
 def link_dedupe(spark, sf):
     """K4: repeated links, the last anchor wins."""
     ten = lambda c: F.concat(F.lit("u"), F.col(c) % 10)
     rows = tables.table(spark, sf, "lineitem").select(ten("l_suppkey").alias("source_url"), ten("l_partkey").alias("target_url"), F.concat(F.lit("a"), "l_linenumber").alias("anchor_text"), F.col("l_shipdate").cast("timestamp").alias("discovered_at"))
-    return index.record_links(rows).select("source_url", "target_url", "anchor_text", F.unix_timestamp("discovered_at").alias("at"))
+    return index.record_links(rows).select("source_url", "target_url", "anchor_text", F.unix_timestamp("discovered_at").alias("last_seen"))
 
 
 @query(
@@ -572,13 +572,13 @@ def spell_suggest(spark, sf):
 # --- crawl --------------------------------------------------------------------------------------------------
 
 _FRONTIER = (
-    f"f AS (SELECT page_id, url, ['queued', 'visited', 'error', 'skipped'][(page_id % 4 + 1)::INT] AS status, 1700000000 + page_id % 97 AS at, page_id % 5 AS attempts, page_id % 2 = 1 AS retryable, {_HOST} AS host,"
+    f"f AS (SELECT page_id, url, ['queued', 'visited', 'error', 'skipped'][(page_id % 4 + 1)::INT] AS status, 1700000000 + page_id % 97 AS since, page_id % 5 AS attempts, page_id % 2 = 1 AS retryable, {_HOST} AS host,"
     f" CASE WHEN page_id % 4 = 2 THEN CASE WHEN page_id % 3 = 0 THEN 'read timed out' ELSE '404' END END AS error, 3.0 * {_HINT}::INT + regexp_matches(lower(url), 'restaurant|hotel|museum|visit')::INT"
     " - 3.0 * regexp_matches(lower(url), 'calendar|login|share=|replytocom')::INT AS priority FROM pages)"
 )
 
 
-@query(f"WITH {_FRONTIER}, s AS (SELECT host FROM f GROUP BY host HAVING count(*) >= 20) SELECT url, priority::DOUBLE AS priority FROM f WHERE status = 'queued' AND host NOT IN (SELECT host FROM s) ORDER BY priority DESC, at, url LIMIT 20")
+@query(f"WITH {_FRONTIER}, s AS (SELECT host FROM f GROUP BY host HAVING count(*) >= 20) SELECT url, priority::DOUBLE AS priority FROM f WHERE status = 'queued' AND host NOT IN (SELECT host FROM s) ORDER BY priority DESC, since, url LIMIT 20")
 def frontier_next(spark, sf):
     """O6, P12"""
     f = tables.frontier(spark, sf)

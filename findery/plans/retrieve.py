@@ -44,11 +44,12 @@ def retrieve(index: Index, queries: DataFrame, top_k: int = 100, intents: Sequen
     out = chosen.join(rows.drop("score"), ["qid", "doc_id"]).join(words.select("qid", F.transform("e", lambda x: x["term"]).alias("expansion_terms")), "qid", "left")
     seen = results.matched_terms(F.col("terms"), F.col("title"), F.col("description"), F.substring("text", 1, 15_000), F.col("canonical_url"))
     out = out.withColumn("matched_terms", seen)
+    out = text.with_snippet(out, F.coalesce(F.nullif("description", F.lit("")), "text"), F.col("terms"))
     r = lambda c, d=6: F.round(F.col(c), d)
     parts = F.create_map(*[v for k in (*ranking.FINAL, "diversity_penalty") for v in (F.lit(k), r(k, 4))])
     return out.select(
         "qid", "rank", "doc_id", F.col("canonical_url").alias("url"), "title", r("final").alias("score"),
-        text.snippet(F.coalesce(F.nullif("description", F.lit("")), "text"), F.col("terms")).alias("snippet"),
+        "snippet",
         text.reading_minutes(F.col("text")).alias("reading_time_mins"), r("bm25_score").alias("bm25_score"), r("expanded_score").alias("expanded_score"),
         r("semantic").alias("semantic_score"), r("authority").alias("authority_score"), F.col("topic").alias("intent"), language.label_of(F.col("topic"), intents).alias("intent_label"),
         F.col("domain").alias("source_domain"), "matched_terms", F.coalesce("expansion_terms", F.array().cast("array<string>")).alias("expansion_terms"), parts.alias("score_components"),
