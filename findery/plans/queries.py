@@ -317,7 +317,7 @@ def host_saturation(spark, sf):
 
 
 @query(
-    "SELECT page_id, regexp_replace(trim(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')), '\\s+', ' ', 'g') AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS html_lang FROM pages"
+    "SELECT page_id, regexp_replace(trim(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')), '\\s+', ' ', 'g') AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS html_lang FROM pages"
 )
 def html_title(spark, sf):
     """Y9, Y11, S13"""
