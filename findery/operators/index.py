@@ -34,17 +34,17 @@ def documents(docs: DataFrame, spellings: dict[str, str] | None = None, intents:
     d = d.withColumn("canonical_url", F.coalesce(F.nullif("canonical_url", F.lit("")), "url"))
     size = lambda c: F.size(text.raw_tokens(F.col(c), spellings))
     d = d.withColumns({"title_token_count": size("title"), "body_token_count": size("text"), "url_token_count": size("url")})
-    topic = language.classify(F.col("url"), F.col("title"), F.col("text"), intents)
+    d = d.withColumn("__topic", language.classify(F.col("url"), F.col("title"), F.col("text"), intents))
     return d.withColumns(
         {
             "token_count": F.col("title_token_count") + F.col("body_token_count") + F.col("url_token_count"),
             "length": F.length("text"),
-            "topic": topic["topic"],
-            "topic_confidence": topic["confidence"],
+            "topic": F.col("__topic.topic"),
+            "topic_confidence": F.col("__topic.confidence"),
             "sha256": F.sha2("html", 256),
             "content_fingerprint": text.fingerprint(F.col("title"), F.col("text")),
         }
-    )
+    ).drop("__topic")
 
 
 def postings(docs: DataFrame, spellings: dict[str, str] | None = None) -> DataFrame:

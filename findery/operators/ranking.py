@@ -33,8 +33,11 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def top(df: DataFrame, n: int, score: str = "score", key: str = "doc_id") -> DataFrame:
-    """The n best of each query, ties by key, with their ``rank`` (Spark prunes groups before the sort)."""
-    w = Window.partitionBy("qid").orderBy(F.desc(score), key)
+    """The n best of each query, ties by key, with their ``rank`` (Spark prunes groups before the sort).
+
+    Scores that differ by less than 1e-9 tie: sums of the same parts depend on their order by that much.
+    """
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round(score, 9)), key)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 

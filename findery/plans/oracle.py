@@ -76,7 +76,7 @@ def bm25(name: str, w: str, limit: int = 750) -> str:
       2.6 * p.title_frequency / greatest(0.05, 0.65 + 0.35 * lt / s.s_t) + p.body_frequency / greatest(0.05, 0.25 + 0.75 * lb / s.s_b)
       + 1.8 * p.url_frequency / greatest(0.05, 0.8 + 0.2 * lu / s.s_u) AS tf
     FROM {w} w JOIN post p USING (term) JOIN df d USING (term) JOIN len l ON l.doc_id = p.doc_id CROSS JOIN stats s WHERE w.weight > 0) GROUP BY ALL),
-{name} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM {name}_all QUALIFY rank <= {limit})"""
+{name} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {name}_all QUALIFY rank <= {limit})"""
 
 
 def feedback() -> str:
@@ -85,7 +85,7 @@ fb_all AS (SELECT b.qid, p.term, sum(p.body_frequency / greatest(l.lb, 1) * ln(1
   FROM fb_docs b JOIN post p USING (doc_id) JOIN df USING (term) JOIN len l ON l.doc_id = p.doc_id CROSS JOIN stats
   WHERE length(p.term) >= 3 AND NOT regexp_full_match(p.term, '[0-9]+') AND p.term NOT IN ({names(stopwords.ALL)}) AND document_frequency / n <= 0.4
     AND NOT EXISTS (SELECT 1 FROM qt WHERE qt.qid = b.qid AND qt.term = p.term) GROUP BY ALL),
-fb_top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, term) AS r FROM fb_all QUALIFY r <= 12),
+fb_top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, term) AS r FROM fb_all QUALIFY r <= 12),
 fb AS (SELECT qid, term, CASE WHEN max(score) OVER (PARTITION BY qid) > 0 THEN 0.3 * score / max(score) OVER (PARTITION BY qid) ELSE 0 END AS weight FROM fb_top)"""
 
 

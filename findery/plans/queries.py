@@ -243,8 +243,8 @@ def topic_classify(spark, sf):
 def language_ladder(spark, sf):
     """L1, P6"""
     said = F.when(F.col("doc_id") % 5 == 0, "en-GB").when(F.col("doc_id") % 5 == 1, "de")
-    lang, conf = language.detect_language(F.col("text"), said)
-    return tables.corpus(spark, sf).select("doc_id", lang.alias("lang"), conf.alias("confidence"))
+    got = tables.corpus(spark, sf).select("doc_id", language.detect_language(F.col("text"), said).alias("l"))
+    return got.select("doc_id", "l.lang", "l.confidence")
 
 
 @query()
@@ -554,7 +554,7 @@ _VOCAB = f"WITH {o.corpus()}, ws AS (SELECT unnest(regexp_extract_all(lower(titl
 _ASKED = "('esstion'), ('ndtoin'), ('ersh'), ('enlichh'), ('inging'), ('qqqqqqq')"
 
 
-@query(f"{_VOCAB}, t(token) AS (VALUES {_ASKED}) SELECT token, word, levenshtein(token, word)::INT AS distance, n::BIGINT AS n FROM t JOIN vocab ON abs(length(word) - length(token)) <= 2 AND levenshtein(token, word) <= 2 AND length(word) <= 7 AND length(token) <= 7")
+@query(f"{_VOCAB}, t(token) AS (VALUES {_ASKED}) SELECT token, word, levenshtein(token, regexp_replace(word, '[^\x00-\x7F]', '?', 'g'))::INT AS distance, n::BIGINT AS n FROM t JOIN vocab ON abs(length(word) - length(token)) <= 2 AND levenshtein(token, regexp_replace(word, '[^\x00-\x7F]', '?', 'g')) <= 2 AND length(word) <= 7 AND length(token) <= 7")
 def spell_candidates(spark, sf):
     """V2"""
     asked = spark.createDataFrame([(x.strip(" ()'"),) for x in _ASKED.split(",")], "token string")

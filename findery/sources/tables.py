@@ -18,6 +18,12 @@ LEXICON = (
 _indexes: dict[tuple[str, str], Index] = {}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer splits than there are cores; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,7 +34,7 @@ def queries(spark: SparkSession) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str, by_language: bool = False) -> DataFrame:
     """Documents with a title (the first line's first 200 characters) and an address by source or language."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     host, path = ("lang", F.concat(F.lit("doc/"), F.col("doc_id"))) if by_language else ("source", F.concat("lang", F.lit("/"), F.col("doc_id")))
     url = F.concat(F.lit("https://"), F.col(host), F.lit(".example.org/"), path)
     return d.select(
