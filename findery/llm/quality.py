@@ -160,7 +160,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
     columns = [c for c in docs.columns if c != "quality_score"]
-    src = docs.select(F.col("text").cast("string").alias("scored_text"), *columns)
+    first = "scored_text"
+    while first in columns:
+        first += "_"
+    src = docs.select(F.col("text").cast("string").alias(first), *columns)
 
     def run(batches):
         w, b0 = shared.value

@@ -25,6 +25,8 @@ one document (they do not repeat each other); strings never cross rows; an empty
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -200,8 +202,8 @@ def send(block: int, buckets: int, **kinds) -> list[tuple[int, int, int, bytes]]
         b = bucket_of(h, buckets)
         order = np.argsort(b, kind="stable")  # the hashes stay sorted in each bucket
         b, h = b[order], h[order]
-        cuts = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else []
-        for i, j in zip(cuts, [*cuts[1:], len(b)], strict=True):
+        cuts = [*np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b)] if len(b) else []
+        for i, j in pairwise(cuts):
             raw = planes(h[i:j], 5) if kind == ANCHORS else pack(h[i:j], doc[order[i:j]])
             out.append((int(b[i]), block, kind, raw))
     return out
