@@ -3,17 +3,18 @@
 A byte goes if it lies in a string of ``length`` (50) bytes that also starts in a document with a smaller
 id. Texts are dealt into blocks; every step reads a block and exchanges packed, sorted hashes with buckets.
 
-1. *Where can repeats be?* The least hash of the ``KMER``-byte strings inside a 50-byte window is the
-   window's anchor; equal windows have equal anchors. Blocks send their distinct anchors (5 bytes each,
-   sorted), buckets answer with those that several blocks hold.
-2. *Parse.* A rolling hash over ``length - 1`` bytes triggers about every ``PERIOD`` bytes; a phrase runs from
+1. *Parse.* A rolling hash over ``length - 1`` bytes triggers about every ``PERIOD`` bytes; a phrase runs from
    one trigger to the end of the next one's string, so phrases are prefix-free and overlap by length - 1 bytes,
    and every window lies in exactly one phrase. Blocks send the phrases' hashes with their smallest document,
    buckets answer with smaller documents elsewhere: a phrase in any later document is wholly a repeat, whatever
    the number of its copies. This is what makes highly repetitive text cheap: only the dictionary is left.
-3. *Dictionary order.* The windows of dictionary phrases (in their first document, behind repeated anchors) are
-   the dictionary's suffixes, cut to the first 50 bytes; buckets sort them and give each window its smallest
-   document. Full suffix arrays beyond 50 bytes would not change any answer and are not built.
+2. *Where else can repeats be?* The least hash of the ``KMER``-byte strings inside a 50-byte window is the
+   window's anchor; equal windows have equal anchors. Of the dictionary's windows blocks send the distinct anchors
+   (5 bytes each, sorted), buckets answer with those that several documents hold. A window's smallest document
+   never loses it to step 1, so no repeat is missed; copies that step 1 has settled ask for nothing.
+3. *Dictionary order.* The dictionary's windows behind such anchors are its suffixes, cut to the first 50
+   bytes; buckets sort them and give each window its smallest document. Full suffix arrays beyond 50 bytes
+   would not change any answer and are not built.
 
 Anchors only say where to look; phrases and windows are compared by 64-bit hashes. Each block sends a hash once
 however often it holds it, so hot passages are not hot keys. Texts are shuffled once: the steps share
@@ -79,7 +80,7 @@ class Chunk:
     """Some texts of a block: their windows, anchors and phrases. ``doc``: ids as unsigned words that keep order."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, length: int):
-        self.length, n = length, len(data)
+        self.length, self.size, n = length, len(data), len(data)
         self.sums = prefix(data)
         count = max(n - length + 1, 0)
         of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -88,14 +89,10 @@ class Chunk:
         self.valid = at + length <= end[:count]  # windows that cross no text's end
         self.of, self.doc = of[:count], doc
         if not count:
-            self.anchor = np.zeros(0, np.uint64)
             self.phrase_start = np.zeros(0, np.int64)
             self.phrase_hash = self.phrase_doc = np.zeros(0, np.uint64)
             self.phrase = np.zeros(0, np.int64)
             return
-        k = min(KMER, length)
-        place = np.arange(n - k + 1)
-        self.anchor = sliding_min(window(self.sums, place, place + k), length - k + 1)[:count]
         # triggers: starts of (length - 1)-byte strings, and the first window of each text
         inner = window(self.sums, at, at + length - 1)
         first = np.zeros(count, bool)
@@ -108,6 +105,11 @@ class Chunk:
         self.phrase_hash = window(self.sums, self.phrase_start, stop)
         self.phrase_doc = doc[of[self.phrase_start]]
 
+    def anchors(self) -> np.ndarray:
+        k, count = min(KMER, self.length), len(self.valid)
+        place = np.arange(self.size - k + 1)
+        return sliding_min(window(self.sums, place, place + k), self.length - k + 1)[:count] if count else np.zeros(0, np.uint64)
+
     def hashes(self, at: np.ndarray) -> np.ndarray:
         return window(self.sums, at, at + self.length)
 
@@ -141,17 +143,10 @@ def lookup(keys: np.ndarray, values: np.ndarray, ask: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """What a block knows by itself: its anchors, and the smallest document of its phrases."""
+    """What a block knows: the smallest document of its phrases, and what it was told."""
 
     def __init__(self, table: pa.Table, length: int):
-        anchors, phrases = [], []
-        for c, *_ in chunks(table, length):
-            a, d = c.anchor[c.valid], c.doc[c.of[c.valid]]
-            new = np.append(True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])) if len(a) else np.zeros(0, bool)
-            anchors.append((a[new], d[new]))
-            phrases.append((c.phrase_hash, c.phrase_doc))
-        a, low, high = least(*(np.concatenate(x) for x in zip(*anchors, strict=True))) if anchors else (np.zeros(0, np.uint64),) * 3
-        self.anchors, self.own_multi = a, a[low != high]
+        phrases = [(c.phrase_hash, c.phrase_doc) for c, *_ in chunks(table, length)]
         self.phrases, self.phrase_doc, _ = least(*(np.concatenate(x) for x in zip(*phrases, strict=True))) if phrases else (np.zeros(0, np.uint64),) * 3
 
     def hear(self, answers: pa.Table) -> None:
@@ -162,24 +157,43 @@ class Block:
                 tags.append(tag(bucket, words(x, 5)))
             else:
                 pairs[kind].append(unpack(x))
-        self.multi = np.sort(np.concatenate([*tags, np.zeros(0, np.uint64)]))
+        self.multi = np.unique(np.concatenate([*tags, np.zeros(0, np.uint64)]))
         for kind in pairs:
             h, d = (np.concatenate([*x, np.zeros(0, np.uint64)]) for x in (zip(*pairs[kind], strict=True) if pairs[kind] else ((), ())))
             order = np.argsort(h)
             pairs[kind] = h[order], d[order]
         self.elsewhere, self.window_elsewhere = pairs[PHRASES], pairs[WINDOWS]
 
+    def settled(self, c: Chunk) -> np.ndarray:
+        """For each window: is it a repeat by its phrase."""
+        smallest = np.minimum(lookup(self.phrases, self.phrase_doc, c.phrase_hash), lookup(*self.elsewhere, c.phrase_hash))
+        later = smallest < c.phrase_doc
+        out = np.zeros(len(c.valid), bool)
+        out[c.valid] = later[c.phrase[c.valid]]
+        return out
+
+    def open_anchors(self, table: pa.Table, length: int) -> np.ndarray:
+        """The sorted anchors of the windows that are not settled; those of several documents stand twice."""
+        found = []
+        for c, *_ in chunks(table, length):
+            rest = np.flatnonzero(c.valid & ~self.settled(c))
+            a, d = c.anchors()[rest], c.doc[c.of[rest]]
+            new = np.append(True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])) if len(a) else np.zeros(0, bool)
+            found.append((a[new], d[new]))
+        a, low, high = least(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.zeros(0, np.uint64),) * 3
+        return np.repeat(a, 1 + (low != high))
+
     def split(self, c: Chunk, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each window: is it a repeat by its phrase; must it be looked up by itself."""
-        own = lookup(self.phrases, self.phrase_doc, c.phrase_hash)
-        other = lookup(*self.elsewhere, c.phrase_hash)
-        later = np.minimum(own, other) < c.phrase_doc
-        by_phrase = np.zeros(len(c.valid), bool)
-        by_phrase[c.valid] = later[c.phrase[c.valid]]
-        rest = np.flatnonzero(c.valid & ~by_phrase)
-        a = c.anchor[rest]
-        hot = np.isin(a, self.own_multi) | np.isin(tag(bucket_of(a, buckets), a & np.uint64((1 << 40) - 1)), self.multi)
-        return by_phrase, rest[hot]
+        """For each window: is it a repeat by its phrase; the windows that must be looked up by themselves."""
+        settled = self.settled(c)
+        rest = np.flatnonzero(c.valid & ~settled)
+        if not len(rest) or not len(self.multi):
+            return settled, rest[:0]
+        a = c.anchors()[rest]
+        run = np.flatnonzero(np.append(True, a[1:] != a[:-1]))  # neighbours share their anchor
+        asked = tag(bucket_of(a[run], buckets), a[run] & np.uint64((1 << 40) - 1))
+        hot = self.multi[np.minimum(np.searchsorted(self.multi, asked), len(self.multi) - 1)] == asked
+        return settled, rest[np.repeat(hot, np.diff(np.append(run, len(a))))]
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -255,9 +269,19 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
     buckets = min(blocks, MAX_BUCKETS)
     dealt = src.select("id", "text", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
 
-    def ask(table: pa.Table) -> pa.Table:
+    def number(table: pa.Table) -> int:
+        return table.column("block")[0].as_py()
+
+    def ask_phrases(table: pa.Table) -> pa.Table:
         b = Block(table, length)
-        return rows(send(table.column("block")[0].as_py(), buckets, anchors=(b.anchors, None), phrases=(b.phrases, b.phrase_doc)))
+        return rows(send(number(table), buckets, phrases=(b.phrases, b.phrase_doc)))
+
+    def ask_anchors(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(table):
+            return rows([])
+        b = Block(table, length)
+        b.hear(answers)
+        return rows(send(number(table), buckets, anchors=(b.open_anchors(table, length), None)))
 
     def windows_of(b: Block, table: pa.Table):
         found = []
@@ -272,7 +296,7 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
             return rows([])
         b = Block(table, length)
         b.hear(answers)
-        return rows(send(table.column("block")[0].as_py(), buckets, windows=windows_of(b, table)))
+        return rows(send(number(table), buckets, windows=windows_of(b, table)))
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         n_removed, n_spans, kept = [], [], []
@@ -303,10 +327,12 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
         )
 
     by_block = dealt.groupBy("block")
-    told = by_block.applyInArrow(ask, SENT).groupBy("bucket").applyInArrow(answer, SENT)
-    asked = by_block.cogroup(told.groupBy("block")).applyInArrow(ask_windows, SENT)
-    told_windows = asked.groupBy("bucket").applyInArrow(answer, SENT)
-    every = told.union(told_windows)
+    answered = lambda asked: asked.groupBy("bucket").applyInArrow(answer, SENT)
+    phrases = answered(by_block.applyInArrow(ask_phrases, SENT))
+    anchors = answered(by_block.cogroup(phrases.groupBy("block")).applyInArrow(ask_anchors, SENT))
+    known = phrases.union(anchors)
+    windows = answered(by_block.cogroup(known.groupBy("block")).applyInArrow(ask_windows, SENT))
+    every = known.union(windows)
     return by_block.cogroup(every.groupBy("block")).applyInArrow(finish, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
