@@ -41,7 +41,7 @@ KMER = 32
 PERIOD_BITS = 6
 BLOCK_BYTES = 8 << 20
 MAX_BUCKETS = 1 << 14
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17  # of text: its arrays of words stay in a core's cache
 ANCHORS, PHRASES, WINDOWS = 0, 1, 2
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SIGN = np.uint64(1 << 63)
