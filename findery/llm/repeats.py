@@ -283,12 +283,14 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
         b.hear(answers)
         return rows(send(number(table), buckets, anchors=(b.open_anchors(table, length), None)))
 
-    def windows_of(b: Block, table: pa.Table):
-        found = []
-        for c, *_ in chunks(table, length):
-            _, at = b.split(c, buckets)
-            h, low, _ = least(c.hashes(at), c.doc[c.of[at]])
-            found.append((h, low))
+    def looked_up(b: Block, table: pa.Table):
+        """For each chunk: its settled windows; place, hash and document of those to look up; and where it lies."""
+        for c, *where in chunks(table, length):
+            settled, at = b.split(c, buckets)
+            yield settled, at, c.hashes(at), c.doc[c.of[at]], where
+
+    def smallest_of(parts):
+        found = [least(h, doc)[:2] for _, _, h, doc, _ in parts]
         return least(*(np.concatenate(x) for x in zip(*found, strict=True)))[:2]
 
     def ask_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -296,19 +298,18 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
             return rows([])
         b = Block(table, length)
         b.hear(answers)
-        return rows(send(number(table), buckets, windows=windows_of(b, table)))
+        return rows(send(number(table), buckets, windows=smallest_of(looked_up(b, table))))
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         n_removed, n_spans, kept = [], [], []
         if len(table):
             b = Block(table, length)
             b.hear(answers)
-            own_h, own_doc = windows_of(b, table)
-            for c, i, j, data, offsets in chunks(table, length):
-                gone, at = b.split(c, buckets)
-                h = c.hashes(at)
-                smallest = np.minimum(lookup(own_h, own_doc, h), lookup(*b.window_elsewhere, h))
-                gone[at[smallest < c.doc[c.of[at]]]] = True
+            parts = list(looked_up(b, table))
+            own = smallest_of(parts)
+            for gone, at, h, doc, (i, j, data, offsets) in parts:
+                smallest = np.minimum(lookup(*own, h), lookup(*b.window_elsewhere, h))
+                gone[at[smallest < doc]] = True
                 base = offsets[i]
                 step = np.zeros(offsets[j] - base + 1, np.int32)
                 hit = np.flatnonzero(gone)
