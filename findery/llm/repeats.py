@@ -40,6 +40,7 @@ LENGTH = 50
 KMER = 32
 PERIOD_BITS = 6
 BLOCK_BYTES = 8 << 20
+BLOCKS_A_BUCKET = 4
 MAX_BUCKETS = 1 << 14
 CHUNK_BYTES = 1 << 17  # of text: its arrays of words stay in a core's cache
 ANCHORS, PHRASES, WINDOWS = 0, 1, 2
@@ -266,7 +267,7 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(int(-(-size // block_bytes)), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = min(blocks, MAX_BUCKETS)
+    buckets = min(-(-blocks // BLOCKS_A_BUCKET), MAX_BUCKETS)  # a message for each block and bucket, so not too many
     dealt = src.select("id", "text", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
 
     def number(table: pa.Table) -> int:
