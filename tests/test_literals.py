@@ -108,14 +108,14 @@ def test_query_file(spark, tmp_path):
 def test_extraction_reads_title_text_and_links(spark):
     page = (
         "<html lang='en'><head><title>A &amp; B</title></head><body><nav><a href='/n'>n</a></nav>"
-        "<main><p>Hello <b>there</b><br>you</p><a href='/x#y'>Go</a><div class='cookie-bar'>no</div></main></body></html>"
+        "<main><nav><a href='/m'>m</a></nav><p>Hello <b>there</b><br>you</p><a href='/x#y'>Go</a><div class='cookie-bar'>no</div></main></body></html>"
     )
     df = spark.createDataFrame([(1, "https://a.de/p", page), (2, "https://a.de/q", None)], "page_id long, url string, html string")
     rows = {r.page_id: r for r in html.extract(df).collect()}
     assert rows[1].title == "A & B"
     assert rows[1].html_lang == "en"
     assert "Hello" in rows[1].text and "no" not in rows[1].text.split()
-    assert [x.url for x in rows[1].links] == ["https://a.de/x"]
+    assert [x.url for x in rows[1].links] == ["https://a.de/n", "https://a.de/x"]  # a menu inside the main part goes before links are read
     assert 2 in rows
 
 
