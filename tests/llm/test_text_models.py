@@ -63,6 +63,61 @@ def test_lm_learns_order(spark):
     assert mean(ordered, "score") > mean(shuffled, "score") + 0.1
 
 
+def test_lm_word_in_class_follows_history(spark):
+    import random
+
+    rng = random.Random(2)
+    names = [f"w{i}same" for i in range(40)]  # one class
+
+    def text():
+        i, out = rng.randrange(40), []
+        for _ in range(50):
+            out.append(names[i])
+            i = (i * 3 + rng.randrange(2)) % 40
+        return out
+
+    rows, mixed = [(i, " ".join(text())) for i in range(200)], []
+    for i in range(200, 220):
+        words = text()
+        rng.shuffle(words)
+        mixed.append((i, " ".join(words)))
+    table = docs(spark, rows + mixed)
+    mean = lambda out, ids: sum(out[i].score / out[i].n_tokens for i in ids) / len(ids)
+    got, off = ({r.doc_id: r for r in maxent.score(table, F.col("doc_id") >= 180, history=h).collect()} for h in (True, False))
+    assert mean(got, range(180, 200)) > mean(got, range(200, 220)) + 0.5
+    assert mean(got, range(180, 200)) > mean(off, range(180, 200)) + 0.5
+    assert mean(off, range(180, 200)) == pytest.approx(mean(off, range(200, 220)), abs=0.1)
+
+
+def test_lm_pair_counts_and_strength(spark):
+    import numpy as np
+
+    rows = [(i, False, f"a b c{i % 7} a b") for i in range(30)] + [(30, True, "a b new"), (31, False, None)]
+    blocks = spark.createDataFrame(rows, "id long, held boolean, text string").repartition(3).mapInArrow(maxent.encode, maxent.BLOCK).collect()
+    want = Counter()
+    for _, held, t in rows:
+        words = [None, *(t or "").split(), ""]
+        if not held:
+            want.update(zip(words, words[1:]))
+    import pyarrow as pa
+
+    sent = [m for row in blocks for m in maxent.pair_messages(12)([pa.RecordBatch.from_pylist([row.asDict()])])]
+    back = {}
+    for m in maxent.add_pairs(sent):
+        for row in m.to_pylist():
+            back.setdefault(row["block"], []).append((row["part"], np.frombuffer(row["pairs"], np.int64)))
+    seen = {}
+    for row in blocks:
+        b = maxent.Block(row.asDict())
+        words = [x.decode() for x in b.vocabulary()]
+        sums = np.concatenate([x for _, x in sorted(back[b.name], key=lambda x: x[0])])[np.unique(b.pairs(), return_inverse=True)[1]]
+        for at, since in enumerate(maxent.starts_of(b.lens).tolist()):
+            seen[None if at == since else words[b.tokens[at - 1]], words[b.tokens[at]]] = int(sums[at])
+    assert {k: v for k, v in seen.items() if v} == dict(want)
+    s = maxent.strength_of([(1.0, 50), (40.0, 3)], 40)
+    assert 50 * s / (1 + s) + 3 * 40 * s / (40 + s) == pytest.approx(40, rel=1e-6)
+
+
 def test_lm_probabilities_sum_to_one():
     import numpy as np
 
