@@ -1,12 +1,13 @@
 """Main-text extraction by consensus host paths.
 
 1. Every page's containers are scored: a block's text without its links counts in full for the nearest
-   container, half for the next one out, and so on. The page's best containers give votes: a
+   container, half for the next one out, and so on. Every container gives votes: a
    *generalised path* (tags with class names, digits as ``#``) and its share of the page's score.
 2. Spark adds the votes by (host, path); the path with the largest sum wins its host. Both steps combine
    before the shuffle, so a host with a third of all pages is a few rows a task.
-3. Every page is read again and the blocks below its host's winning path are its text. A page without
-   that path uses its own best container.
+3. Every page is read again. A container on its host's winning path is lifted to the outermost one around it that
+   is an article or holds text of its own that is not links (without any: to the outermost main), and the blocks
+   below are the page's text. A page without that path uses its own best container.
 
 The winning paths (one a host) are counted first: up to ``BROADCAST_HOSTS`` they are broadcast and no
 page is shuffled; beyond, pages join them on (host, salt), salted so that a hot host spreads out.
@@ -32,7 +33,6 @@ from .common import materialise
 
 BROADCAST_HOSTS = 50_000
 SALTS = 64
-VOTES_PER_PAGE = 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -206,21 +206,31 @@ class Page:
         return out
 
     def votes(self) -> list[tuple[str, int]]:
-        """The best paths with their thousandths of all the page's scores."""
+        """The paths, best first, with their thousandths of all the page's scores."""
         by_path: dict[str, float] = {}
         for node, x in self.scores().items():
             p = self.path(node)
             by_path[p] = by_path.get(p, 0.0) + x
         total = sum(by_path.values())
-        best = sorted(by_path.items(), key=lambda kv: (-kv[1], kv[0]))[:VOTES_PER_PAGE]
+        best = sorted(by_path.items(), key=lambda kv: (-kv[1], kv[0]))
         return [(p, int(1000 * x / total)) for p, x in best if x > 0]
 
+    def lifted(self, node: int, own_text: set[int]) -> int:
+        """The outermost article or container with text of its own around ``node``; else the outermost main; else ``node``."""
+        around = [node]
+        while self.parent[around[-1]] >= 0:
+            around.append(self.parent[around[-1]])
+        best = [i for i in around if self.tag[i] == "article" or i in own_text and i != node] or [i for i in around if self.tag[i] == "main"]
+        return best[-1] if best else node
+
     def text(self, path: str | None) -> str:
-        """All blocks below the containers of a path, in page order."""
+        """All blocks below the lifted containers of a path, in page order."""
         roots = {i for i in range(1, len(self.parent)) if self.path(i) == path} if path else set()
         if not roots:
             own = self.votes()
             roots = {i for i in range(len(self.parent)) if own and self.path(i) == own[0][0]}
+        own_text = {node for node, text, links in self.blocks if len(text) > 2 * links}
+        roots = {self.lifted(i, own_text) for i in roots}
         inside = [False] * len(self.parent)
         for i in range(len(self.parent)):  # a container comes after its parent
             inside[i] = i in roots or (self.parent[i] >= 0 and inside[self.parent[i]])

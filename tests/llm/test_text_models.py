@@ -174,6 +174,22 @@ def page_rows(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
+def test_extraction_keeps_what_is_beside_the_best_container(spark):
+    long = lambda k: " ".join([k] * 60)
+    nested = f"<nav>menu</nav><article><h1>Title</h1><p>lead</p><section><p>{long('one')}</p></section><section><p>{long('two')}</p></section><p>end</p></article>"
+    table = f"<article><h1>Head</h1><p>before</p><table><tr><td>{long('cell')}</td></tr></table><blockquote>{long('quote')}</blockquote></article><footer>foot</footer>"
+    plain = f"<div class='page'><p>lead</p><div class='part'><p>{long('one')}</p></div></div>"
+    bare = f"<main><div><a href='/'>top</a></div><section><p>{long('one')}</p></section><section>short</section></main>"
+    rows = [(i, f"https://n.de/{i}", f"<body>{nested}</body>") for i in range(3)] + [(3, "https://n.de/m", "<body><article><h1>Mixed</h1><p>direct</p><section>part</section></article></body>")]
+    rows += [(10 + i, f"https://h{i}.de/", f"<body>{h}</body>") for i, h in enumerate((table, plain, bare))]
+    out = {r.page_id: r.text for r in pages.op5(page_rows(spark, rows)).collect()}
+    assert out[0] == out[2] == f"Title lead {long('one')} {long('two')} end"
+    assert out[3] == "Mixed direct part"
+    assert out[10] == f"Head before {long('cell')} {long('quote')}"
+    assert out[11] == f"lead {long('one')}"
+    assert out[12] == f"top {long('one')} short"
+
+
 def test_extraction(spark):
     rows = [(1, "https://a.de/1", PAGE), (2, "https://a.de/2", PAGE.replace("post-12", "post-7")), (3, None, None), (4, "x", ""), (5, "https://b.de/", "plain <b>text"), (1, "https://a.de/1", PAGE)]
     out = pages.op5(page_rows(spark, rows).withColumn("path", F.lit(1)).withColumn("host", F.lit(1))).collect()
