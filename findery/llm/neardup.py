@@ -232,8 +232,17 @@ def op7(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component; rows that repeat its id count as copies too."""
-    gone = link(docs.select("doc_id", "text"), width, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    """``docs`` with one row of each component, that of the smallest doc_id (null comes last).
+
+    Rows are told apart by a key in a written table, so rows that share a doc_id or have none are judged one by one.
+    """
     columns = docs.columns
-    left = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    return left.select(*columns)
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    linked = link(rows.select("__row", "text"), width, percent, id_col="__row").select("__row", F.col("component_id").alias("__of"))
+    linked = materialise(linked, "linked")
+    crowds = linked.groupBy("__of").agg(F.count("*").alias("n")).where("n > 1").select("__of")
+    members = linked.join(crowds.hint("merge"), "__of").join(rows.select("__row", F.col("doc_id").cast("long").alias("__id")).hint("merge"), "__row")
+    members = materialise(members, "members")
+    first = members.groupBy("__of").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).getField("__row").alias("__row"))
+    gone = members.join(first.select("__row").hint("merge"), "__row", "left_anti").select("__row")
+    return rows.join(gone.hint("merge"), "__row", "left_anti").select(*columns)

@@ -155,6 +155,15 @@ def test_keep_one(spark):
     assert neardup.op7(df.limit(0)).count() == 0
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(1, text("a")), (None, text("a")), (None, text("b")), (None, text("c")), (2, text("a")), (2, text("d"))]
+    rows += [(3, text("e")), (3, text("e")), (None, text("f")), (None, text("f")), (None, None), (4, ""), (4, "")]
+    kept = [(r.doc_id, r.text) for r in neardup.keep_one(docs(spark, rows)).collect()]
+    want = [(1, text("a")), (None, text("b")), (None, text("c")), (2, text("d")), (3, text("e")), (None, text("f")), (None, None), (4, ""), (4, "")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_sketch_fills_every_coordinate_and_estimates():
     rng = np.random.default_rng(1)
     common, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (800, 100, 100))
