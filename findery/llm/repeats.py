@@ -12,9 +12,9 @@ id. Texts are dealt into blocks; every step reads a block and exchanges packed,
    window's anchor; equal windows have equal anchors. Of the dictionary's windows blocks send the distinct anchors
    (5 bytes each, sorted), buckets answer with those that several documents hold. A window's smallest document
    never loses it to step 1, so no repeat is missed; copies that step 1 has settled ask for nothing.
-3. *Dictionary order.* The dictionary's windows behind such anchors are its suffixes, cut to the first 50
-   bytes; buckets sort them and give each window its smallest document. Full suffix arrays beyond 50 bytes
-   would not change any answer and are not built.
+3. *Grouping in place of suffix arrays.* No suffix array of the dictionary or of the parse is built. The 64-bit hashes of
+   the dictionary's windows of 50 bytes behind such anchors are grouped: buckets sort the hashes (which is not suffix
+   order) and give each window its smallest document. The answer asks only which windows are equal, not their order.
 
 Anchors only say where to look; phrases and windows are compared by 64-bit hashes. Each block sends a hash once
 however often it holds it, so hot passages are not hot keys. Texts are shuffled once: the steps share
