@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -25,9 +26,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="findery-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -120,6 +123,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def planes(x: np.ndarray, width: int = 8) -> bytes:
+    """The bytes of whole numbers, place by place: the upper places compress to little."""
+    return np.ascontiguousarray(x.astype("<i8" if x.dtype.kind == "i" else "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def words(raw: bytes, width: int = 8) -> np.ndarray:
+    """``planes`` back, without a sign."""
+    n = len(raw) // width
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

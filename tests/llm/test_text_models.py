@@ -89,41 +89,99 @@ def test_lm_word_in_class_follows_history(spark):
     assert mean(off, range(180, 200)) == pytest.approx(mean(off, range(200, 220)), abs=0.1)
 
 
-def test_lm_pair_counts_and_strength(spark):
+def encoded(spark, rows, parts=3):
+    from findery.llm.maxent import BLOCK, Block, encode
+
+    table = spark.createDataFrame(rows, "id long, held boolean, text string").repartition(parts)
+    return [Block(row.asDict()) for row in table.mapInArrow(encode, BLOCK).collect()], table
+
+
+def test_lm_counts_and_strength(spark):
     import numpy as np
+    import pyarrow as pa
 
-    rows = [(i, False, f"a b c{i % 7} a b") for i in range(30)] + [(30, True, "a b new"), (31, False, None)]
-    blocks = spark.createDataFrame(rows, "id long, held boolean, text string").repartition(3).mapInArrow(maxent.encode, maxent.BLOCK).collect()
-    want = Counter()
+    rows = [(i, False, f"a b c{i % 7} a b") for i in range(30)] + [(30, True, "a b new"), (31, False, None), (32, False, "once")]
+    blocks, table = encoded(spark, rows)
+    pairs, single = Counter(), Counter()
     for _, held, t in rows:
-        words = [None, *(t or "").split(), ""]
+        line = [None, *(t or "").split(), ""]
         if not held:
-            want.update(zip(words, words[1:]))
-    import pyarrow as pa
-
-    sent = [m for row in blocks for m in maxent.pair_messages(12)([pa.RecordBatch.from_pylist([row.asDict()])])]
-    back = {}
-    for m in maxent.add_pairs(sent):
+            pairs.update(zip(line, line[1:]))
+            single.update(line[1:])
+    raw = [row.asDict() for row in table.mapInArrow(maxent.encode, maxent.BLOCK).collect()]
+    sent = [m for row in raw for m in maxent.messages(12)([pa.RecordBatch.from_pylist([row])])]
+    back, sizes, once = {}, Counter(), 0
+    for m in maxent.add_up(sent):
         for row in m.to_pylist():
-            back.setdefault(row["block"], []).append((row["part"], np.frombuffer(row["pairs"], np.int64)))
-    seen = {}
-    for row in blocks:
-        b = maxent.Block(row.asDict())
-        words = [x.decode() for x in b.vocabulary()]
-        sums = np.concatenate([x for _, x in sorted(back[b.name], key=lambda x: x[0])])[np.unique(b.pairs(), return_inverse=True)[1]]
-        for at, since in enumerate(maxent.starts_of(b.lens).tolist()):
-            seen[None if at == since else words[b.tokens[at - 1]], words[b.tokens[at]]] = int(sums[at])
-    assert {k: v for k, v in seen.items() if v} == dict(want)
+            if row["block"] is None:
+                sizes[row["size"]] += row["n"]
+                once += row["once"]
+            else:
+                back.setdefault(row["block"], []).append(row)
+    assert once == sum(n == 1 for n in pairs.values())
+    assert sizes == Counter(n.bit_length() - 1 for n in single.values())
+    seen, alone = {}, {}
+    for row in raw:
+        b = maxent.Block(row)
+        (_, at_word, _), (_, at_pair, _) = b.keys()
+        answers = sorted(back[b.name], key=lambda x: x["part"])
+        gather = lambda name: np.concatenate([maxent.words(x[name]) for x in answers])  # noqa: E731, B023
+        text, total = [x.decode() for x in b.vocabulary()], gather("pairs")[at_pair]
+        alone |= dict(zip(text, gather("words")[at_word].tolist()))
+        for at, since in enumerate(b.since.tolist()):
+            seen[None if at == since else text[b.tokens[at - 1]], text[b.tokens[at]]] = int(total[at])
+    assert {k: v for k, v in seen.items() if v} == dict(pairs)
+    assert {k: v for k, v in alone.items() if v} == dict(single)
     s = maxent.strength_of([(1.0, 50), (40.0, 3)], 40)
     assert 50 * s / (1 + s) + 3 * 40 * s / (40 + s) == pytest.approx(40, rel=1e-6)
 
 
-def test_lm_probabilities_sum_to_one():
+@pytest.mark.parametrize("trained", [True, False])
+def test_lm_probabilities_sum_to_one(spark, trained):
+    """Over the whole vocabulary, after each of several histories; what is left is for words that training has not seen."""
     import numpy as np
 
-    weights = np.random.default_rng(1).normal(size=(maxent.BUCKETS, maxent.CLASSES)).astype(np.float32)
-    z = maxent.log_softmax(weights, np.arange(10).reshape(2, 5))
-    assert np.exp(z).sum(1) == pytest.approx([1, 1], abs=1e-4)
+    names = [f"n{i}" for i in range(300)]
+    histories = ["", "n3", "n3 n7", "never"]
+    rows = [(i, True, f"{h} {w}") for i, (h, w) in enumerate((h, w) for h in histories for w in names)] + [(9000 + i, True, h) for i, h in enumerate(histories)]
+    (b,), _ = encoded(spark, rows, 1)
+    count = {w.decode(): 0 if w == b"never" else 1 + (7 * i) % 5 for i, w in enumerate(b.vocabulary())}
+    c = np.array(list(count.values()))
+    leaves = np.bincount(b.cls * maxent.SLOTS + b.slot, c, maxent.CLASSES * maxent.SLOTS)
+    rng = np.random.default_rng(1)
+    weights = tuple(rng.normal(size=(1 << 10, n)).astype(np.float32) for n in (maxent.CLASSES, maxent.SLOTS)) if trained else None
+    m = maxent.Model(weights, 10, int(c.sum()), int((c > 0).sum()), int((c == 1).sum()), 5.0, np.full(257, 3), leaves)
+    logs = m.logs(b, c, np.zeros(len(b.tokens)))
+    ends = np.cumsum(b.lens)
+    for k, h in enumerate(histories):
+        of = {int(i): e for i, e in zip(b.ids, ends, strict=True)}
+        last = [of[k * len(names) + i] - 2 for i in range(len(names))] + [of[9000 + k] - 1]  # the word after the history, or its end
+        share = 1.0
+        if trained and h != "never":  # no pair was seen: the counts take their share
+            n = count[h.split(" ")[-1]]
+            share = 5.0 / (n + 5.0)
+        assert sum(10 ** logs[last]) / share == pytest.approx(1 - m.unseen, rel=1e-5)
+    spelled = m.letters, m.stop
+    assert sum(10 ** spelled[0]) + 10 ** spelled[1] == pytest.approx(1)
+
+
+def test_lm_gives_the_same_scores_again(spark):
+    rows = [(i, f"the word{i % 9} of text{i % 4} is {i}") for i in range(300)]
+    first, again = (sorted(map(tuple, maxent.op1(docs(spark, rows)).collect())) for _ in range(2))
+    assert first == again
+
+
+def test_lm_of_very_long_texts_and_words(spark):
+    rows = [(i, f"a b c {i}") for i in range(20)] + [(100, "long text " * 200_000), (101, "x" * 300_000), (102, "y" * 300_000)]
+    out = {r.doc_id: r for r in maxent.op1(docs(spark, rows)).collect()}
+    assert out[100].n_tokens == 400_001 and out[101].n_tokens == 2 and len(out) == 23
+    assert all(math.isfinite(r.score) for r in out.values())
+
+
+def test_lm_follows_the_size():
+    assert [maxent.rounds_for(n) for n in (0, 1000, 2_000_000, 10**9)] == [8, 8, 3, 2]
+    assert [maxent.bits_for(n) for n in (0, 10**8, 8 * 10**8, 8 * 10**9, 10**15)] == [14, 14, 15, 17, 18]
+    assert [maxent.batch_for(n) for n in (0, 64_000, 10**7)] == [256, 1000, 16384]
 
 
 def test_lm_of_no_rows_and_no_training(spark):
