@@ -147,7 +147,7 @@ def test_lm_probabilities_sum_to_one(spark, trained):
     (b,), _ = encoded(spark, rows, 1)
     count = {w.decode(): 0 if w == b"never" else 1 + (7 * i) % 5 for i, w in enumerate(b.vocabulary())}
     c = np.array(list(count.values()))
-    leaves = np.bincount(b.cls * maxent.SLOTS + b.slot, c, maxent.CLASSES * maxent.SLOTS)
+    leaves = np.bincount(b.cls * maxent.SLOTS + b.slot, c, maxent.CLASSES * maxent.SLOTS).reshape(maxent.CLASSES, maxent.SLOTS)
     rng = np.random.default_rng(1)
     weights = tuple(rng.normal(size=(1 << 10, n)).astype(np.float32) for n in (maxent.CLASSES, maxent.SLOTS)) if trained else None
     m = maxent.Model(weights, 10, int(c.sum()), int((c > 0).sum()), int((c == 1).sum()), int((c == 2).sum()), 5.0, leaves)
