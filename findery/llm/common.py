@@ -36,14 +36,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back, which cuts its lineage.
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` below the shared folder, in folders by a last column ``by``, and read it back, which cuts its lineage.
 
     The table survives lost executors; it goes when the driver ends, or by ``discard``.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/findery/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._findery_path = path
@@ -72,6 +72,14 @@ def _clean() -> None:
             return
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """``base``, with ``_`` behind it as long as a column has that name (names are compared without case)."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, nothing else (``lower`` folds all of Unicode)."""
     return F.translate(c, UPPER, UPPER.lower())

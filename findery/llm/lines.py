@@ -1,23 +1,26 @@
 """Line deduplication by levelled sorted runs of line hashes (DataFrame functions only).
 
-A *run* is a table (h1, h2, n_docs, max_doc) sorted by the 128-bit hash of the line's key, in the
-shared folder. A batch of documents adds one run at level 0; when a level holds ``fanout`` runs
-they are merged into one run of the next level and deleted, so a hash is rewritten once a level:
-O(log batches) times. New lines are held against the runs by a merge anti-join on the hash.
+A *run* is a table (h1, h2, n_docs, max_doc, known) sorted by the hash of the line's key, in the shared folder. The hash is two
+64-bit words with different seeds. A batch of documents is merge-anti-joined with all runs, which tells its fresh keys from known ones
+(``known``), and becomes a run of level 0; when a level holds ``fanout`` runs they are merged into one run of the next level and
+deleted, so a hash is rewritten once a level: O(log batches) times.
 
-* ``LineRuns.fresh(batch)`` - the batch's lines whose key no run has: incremental use.
-* ``LineRuns.add(batch)`` - adds the batch's own run.
+* ``LineRuns.add(keys)`` - adds a batch's own run.
+* ``LineRuns.fresh(keys)`` - the keys that no run has: incremental use.
 * ``LineRuns.repeated(min_docs)`` - the merged view: keys of at least ``min_docs`` documents.
 * ``drop_repeated(docs, ...)`` - all of it for one table: every repeated key loses its lines, except
   in the document with the largest id that holds it.
 
-A line that a third of the documents share is one row per map task in the counting (partial
-aggregation) and is spread over tasks in the join, which is a sort-merge join that AQE may split.
+Documents are read twice: once for the hashes of their lines, which are stored by batch, and once for the texts that stay. A line that
+a third of the documents share is one row per map task in the counting (partial aggregation) and is spread over tasks in the join,
+which is a sort-merge join that AQE may split. What a document loses is a set of places, so a text of many lines is
+filtered in time that grows with its lines.
 
 Key of a line: white space stripped at both ends, A-Z lower-cased. Defined results: a null or empty
 text is one empty line; keys shorter than ``min_chars`` code points never count; rows with the same
 doc_id are one document when documents are counted and each loses its lines by itself; a null doc_id
-is one document, below all others; an empty table gives an empty result; a text may end up empty.
+is one document, below all others; an empty table gives an empty result; a text may end up empty; other columns
+pass as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +30,12 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, discard, lower_ascii, materialise, text_or_empty, union_all
+from .common import SPACE_CHARS, discard, free_name, lower_ascii, materialise, text_or_empty, union_all
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 BATCHES = 4
-FANOUT = 4
+FANOUT = 2
 
 
 def line_key(line: Column) -> Column:
@@ -40,52 +43,59 @@ def line_key(line: Column) -> Column:
 
 
 def key_hash(key: Column) -> Column:
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2"))
+    """Two words: the second has the hash of 1 as its seed, not the first word."""
+    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
+
+
+def row_key(text: str = "text") -> Column:
+    """What tells rows of one doc_id apart; equal rows lose the same lines."""
+    return F.xxhash64(F.col(text))
 
 
 def long_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2, doc_id), once each: the hashed long keys of every document."""
-    keys = F.filter(F.transform(F.split(text_or_empty(), "\n"), line_key), lambda k: F.length(k) >= min_chars)
-    hashes = F.array_distinct(F.transform(keys, key_hash))
-    return docs.select("doc_id", F.explode(hashes).alias("h")).select("h.h1", "h.h2", "doc_id").distinct()
+    """(h1, h2, doc_id, row, place): the hashed long keys of every document and where they stand."""
+    keys = F.transform(F.split(text_or_empty(), "\n"), line_key)
+    lines = docs.select("doc_id", row_key().alias("row"), F.posexplode(keys).alias("place", "key")).where(F.length("key") >= min_chars)
+    return lines.select("doc_id", "row", "place", key_hash(F.col("key")).alias("h")).select("h.h1", "h.h2", "doc_id", "row", "place")
 
 
 def merge(runs: list[DataFrame]) -> DataFrame:
     """One sorted run of several."""
-    merged = union_all(runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+    merged = union_all(runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.min("known").alias("known"))
     return merged.sortWithinPartitions("h1", "h2")
 
 
 class LineRuns:
     """Levels of sorted runs; batches must not share a doc_id."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT, min_chars: int = MIN_CHARS):
-        self.spark, self.fanout, self.min_chars = spark, max(2, fanout), min_chars
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+        self.spark, self.fanout = spark, max(2, fanout)
         self.levels: dict[int, list[DataFrame]] = defaultdict(list)
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Add the batch's run; returns its (h1, h2, doc_id) rows."""
-        keys = materialise(long_keys(batch, self.min_chars), "line-keys")
-        self.add_keys(keys)
-        return keys
-
-    def add_keys(self, keys: DataFrame) -> None:
-        run = keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        self.levels[0].append(materialise(run.sortWithinPartitions("h1", "h2"), "run0"))
+    def add(self, keys: DataFrame) -> DataFrame:
+        """Add the run of a batch's (h1, h2, doc_id, ...) rows; returns it."""
+        run = keys.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        if self.runs():
+            old = union_all([r.select("h1", "h2") for r in self.runs()]).distinct().withColumn("known", F.lit(True))
+            run = run.join(old.hint("merge"), ["h1", "h2"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        else:
+            run = run.withColumn("known", F.lit(False))
+        run = materialise(run.sortWithinPartitions("h1", "h2"), "run0")
+        self.levels[0].append(run)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old = self.levels.pop(level)
             level += 1
             self.levels[level].append(materialise(merge(old), f"run{level}"))
-            for run in old:
-                discard(run)
+            for done in old:
+                discard(done)
+        return run
 
     def runs(self) -> list[DataFrame]:
         return [r for level in sorted(self.levels) for r in self.levels[level]]
 
-    def fresh(self, batch: DataFrame) -> DataFrame:
-        """(h1, h2, doc_id) of the batch's long keys that no earlier batch has."""
-        keys = long_keys(batch, self.min_chars)
+    def fresh(self, keys: DataFrame) -> DataFrame:
+        """The rows of a batch whose key no run has."""
         for run in self.runs():
             keys = keys.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         return keys
@@ -96,40 +106,49 @@ class LineRuns:
         return merged.where(F.col("n_docs") >= min_docs)
 
 
-def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
-    """doc_id, __drops: the hashes of the keys that a document loses (documents that lose none are absent)."""
-    store, keys = LineRuns(docs.sparkSession, fanout, min_chars), []
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
+def places_lost(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
+    """doc_id, row, places: the lines that a document loses (documents that lose none are absent)."""
+    store = LineRuns(docs.sparkSession, fanout)
+    keys = long_keys(docs.select("doc_id", "text"), min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    keys = materialise(keys, "line-keys", by="batch")
     for b in range(batches):
-        keys.append(store.add(docs.select("doc_id", "text").where(part == b)))
+        store.add(keys.where(F.col("batch") == b))
     repeated = store.repeated(min_docs).select("h1", "h2", "max_doc")
-    lost = union_all(keys).join(repeated.hint("merge"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
-    return lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("__drops"))
-
-
-def drop_repeated(
-    docs: DataFrame,
-    min_chars: int = MIN_CHARS,
-    min_docs: int = MIN_DOCS,
-    batches: int = BATCHES,
-    fanout: int = FANOUT,
-) -> DataFrame:
-    """``docs`` with its columns, the text without repeated lines, and n_lines, n_dropped after them."""
-    drops = repeated_keys(docs, min_chars, min_docs, batches, fanout).withColumnRenamed("doc_id", "__drop_id")
-    joined = docs.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__drop_id")), "left")
-    lines = F.split(text_or_empty(), "\n")
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return (F.length(key) < min_chars) | ~F.array_contains(F.col("__drops"), key_hash(key))
-
-    kept = F.when(F.col("__drops").isNull(), lines).otherwise(F.filter(lines, stays))
-    rest = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    out = joined.select(*rest, F.size(lines).cast("long").alias("n_lines"), kept.alias("__kept"))
+    lost = keys.join(repeated.hint("merge"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
+    return lost.groupBy("doc_id", "row").agg(F.collect_set("place").alias("places"))
+
+
+def _without(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with the lines that stay in place of the text, the number of all lines, and the names of both columns."""
+    names = [*docs.columns]
+    own = {}
+    for base in ("lost_id", "lost_row", "lost_places", "row_key", "stay", "lines"):
+        own[base] = free_name(names, base)
+        names.append(own[base])
+    lost = places_lost(docs, min_chars, min_docs, batches, fanout)
+    lost = lost.select(F.col("doc_id").alias(own["lost_id"]), F.col("row").alias(own["lost_row"]), F.col("places").alias(own["lost_places"]))
+    on = F.col("doc_id").eqNullSafe(F.col(own["lost_id"])) & F.col(own["row_key"]).eqNullSafe(F.col(own["lost_row"]))
+    joined = docs.withColumn(own["row_key"], row_key()).join(lost.hint("merge"), on, "left")
+    lines, places = F.split(text_or_empty(), "\n"), F.col(own["lost_places"])
+    both = F.struct(lines.alias("all"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places).alias("left"))
+    # one element, so that the lines are split once, not for each place
+    stay = F.flatten(F.transform(F.array(both), lambda x: F.transform(x["left"], lambda i: F.get(x["all"], i))))
+    return joined.select(*docs.columns, F.when(places.isNull(), lines).otherwise(stay).alias(own["stay"]), F.size(lines).cast("long").alias(own["lines"])), own["stay"], own["lines"]
+
+
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """``docs`` with its columns and the text without repeated lines."""
+    out, stay, _ = _without(docs, min_chars, min_docs, batches, fanout)
+    return out.select(*[F.array_join(stay, "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+
+
+def drop_repeated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """``deduplicated`` with n_lines, n_dropped as last columns; where ``docs`` has such names, with ``_`` behind them."""
+    out, stay, lines = _without(docs, min_chars, min_docs, batches, fanout)
     return out.select(
-        *[F.array_join("__kept", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        "n_lines",
-        (F.col("n_lines") - F.size("__kept")).alias("n_dropped"),
+        *[F.array_join(stay, "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        F.col(lines).alias(free_name(docs.columns, "n_lines")),
+        (F.col(lines) - F.size(stay)).alias(free_name(docs.columns, "n_dropped")),
     )
 
 

@@ -63,23 +63,51 @@ def test_line_dedup(spark, extra):
     assert sorted(tuple(r) for r in got) == brute_lines(DOCS)
 
 
+CLASHES = ("n_lines", "N_DROPPED", "lost_id", "lost_row", "lost_places", "row_key", "stay", "lines", "h1", "place", "batch", "known")
+
+
 def test_line_dedup_keeps_columns_and_empty_tables(spark):
-    df = table(spark, DOCS, ("lang", "source"))
+    df = table(spark, DOCS, CLASHES)
     out = lines.drop_repeated(df)
-    assert out.columns[: len(df.columns)] == df.columns
+    assert out.columns == [*df.columns, "n_lines_", "n_dropped_"]
+    rows = out.collect()
+    assert all(r[c] == "x" for r in rows for c in CLASHES)
+    assert sorted((r.doc_id, r.n_lines_, r.n_dropped_, hashlib.sha256(r.text.encode()).hexdigest()) for r in rows) == brute_lines(DOCS)
+    assert lines.deduplicated(df).columns == df.columns
     assert lines.op2(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_null_ids_and_repeated_rows(spark):
+    rows = [*DOCS, (None, LINE), (None, f"x\n{LINE}"), (1, DOCS[0][1]), (1, DOCS[0][1]), (3, f"{LINE}\nother")]
+    got = lines.op2(table(spark, rows)).collect()
+    low = [(-1 if d is None else d, t) for d, t in rows]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in got) == brute_lines(low)
+
+
+def test_long_texts_lose_their_lines_fast(spark):
+    many = "\n".join(f"a line of its own, number {i}" for i in range(60_000))
+    got = {r.doc_id: r.n_dropped for r in lines.op2(table(spark, [(i, many) for i in range(3)])).collect()}
+    assert got == {0: 60_000, 1: 60_000, 2: 0}
+
+
+def test_line_hashes_are_independent(spark):
+    """Keys with one first word do not share the second: the words have seeds of their own."""
+    row = table(spark, [(1, "k")]).select(lines.key_hash(F.col("text")).alias("h"), F.xxhash64("text", F.lit(1)).alias("chained")).first()
+    assert row.h.h1 != row.h.h2 != row.chained
+
+
 def test_runs_find_new_lines_and_are_merged(spark):
     store = lines.LineRuns(spark, fanout=2)
-    first, second = table(spark, DOCS[:3]), table(spark, DOCS[3:])
-    assert store.fresh(first).count() == 3
-    store.add(first)
-    fresh = store.fresh(second.unionByName(first))
+    first, second = (lines.long_keys(table(spark, rows)) for rows in (DOCS[:3], DOCS[3:]))
+    assert store.fresh(first).select("h1", "doc_id").distinct().count() == 3
+    assert not any(r.known for r in store.add(first).collect())
+    fresh = store.fresh(lines.long_keys(table(spark, DOCS)))
     assert fresh.select("h1").distinct().count() == 4  # not the line that the first batch has
     store.add(second)
     assert len(store.runs()) == 1 and max(store.levels) == 1
     assert {r.n_docs for r in store.repeated(3).collect()} == {3}
+    again = store.add(lines.long_keys(table(spark, [(100, f"{LINE}\na line that nobody else has at all")]))).collect()
+    assert sorted(r.known for r in again) == [False, True]
 
 
 def test_line_dedup_equals_sql(spark, data_dir, duck):
