@@ -12,16 +12,18 @@ id. Texts are dealt into blocks; every step reads a block and exchanges packed,
    window's anchor; equal windows have equal anchors. Of the dictionary's windows blocks send the distinct anchors
    (5 bytes each, sorted), buckets answer with those that several documents hold. A window's smallest document
    never loses it to step 1, so no repeat is missed; copies that step 1 has settled ask for nothing.
-3. *Grouping in place of suffix arrays.* No suffix array of the dictionary or of the parse is built. The 64-bit hashes of
+3. *Grouping in place of suffix arrays.* No suffix array of the dictionary or of the parse is built. The hashes of
    the dictionary's windows of 50 bytes behind such anchors are grouped: buckets sort the hashes (which is not suffix
    order) and give each window its smallest document. The answer asks only which windows are equal, not their order.
 
-Anchors only say where to look; phrases and windows are compared by 64-bit hashes. Each block sends a hash once
-however often it holds it, so hot passages are not hot keys. Texts are shuffled once: the steps share
-the exchange.
+Anchors only say where to look; phrases and windows are compared by 64-bit hashes without algebraic structure and 16 bits of another
+hash of all their bytes (pairs / 2^80 are false). Each block sends a hash once however often it holds it, so hot passages are not
+hot keys. Texts are shuffled once: the steps share the exchange. Texts longer than ``CHUNK_BYTES`` are cut, with the bytes that windows
+across the cut need on both sides.
 
 Defined results: a null text has no bytes; a null doc_id is smaller than all others; rows with the same doc_id are
-one document (they do not repeat each other); strings never cross rows; an empty table gives an empty result.
+one document (they do not repeat each other); strings never cross rows; a very long text is taken whole; other columns are not read, so
+their names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,39 +35,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, string_bytes
-from .hashing import prefix, window
+from .common import mix64, pieces, planes, string_bytes, words
+from .hashing import Spans
 
 LENGTH = 50
 KMER = 32
 PERIOD_BITS = 6
 BLOCK_BYTES = 8 << 20
 BLOCKS_A_BUCKET = 4
-MAX_BUCKETS = 1 << 14
 CHUNK_BYTES = 1 << 17  # of text: its arrays of words stay in a core's cache
 ANCHORS, PHRASES, WINDOWS = 0, 1, 2
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SIGN = np.uint64(1 << 63)
 
 
-def planes(x: np.ndarray, width: int = 8) -> bytes:
-    """The bytes of sorted words, place by place: the upper places compress to little."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+#: Hashes with their further bits.
+Keys = tuple[np.ndarray, np.ndarray]
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.random.default_rng(5).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def words(raw: bytes, width: int = 8) -> np.ndarray:
-    n = len(raw) // width
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+def pack(keys: Keys, doc: np.ndarray) -> bytes:
+    return planes(keys[0]) + planes(doc) + planes(keys[1].astype(np.uint64), 2)
 
 
-def pack(h: np.ndarray, doc: np.ndarray) -> bytes:
-    return planes(h) + planes(doc)
+def unpack(raw: bytes) -> tuple[Keys, np.ndarray]:
+    n = len(raw) // 18
+    return (words(raw[: 8 * n]), words(raw[16 * n :], 2).astype(np.uint16)), words(raw[8 * n : 16 * n])
 
 
-def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return words(raw[: len(raw) // 2]), words(raw[len(raw) // 2 :])
+def pick(keys: Keys, at) -> Keys:
+    return keys[0][at], keys[1][at]
+
+
+def none() -> Keys:
+    return np.zeros(0, np.uint64), np.zeros(0, np.uint16)
+
+
+def joined(parts: list[Keys]) -> Keys:
+    return tuple(np.concatenate([x, *(p[k] for p in parts)]) for k, x in enumerate(none()))
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -82,7 +90,7 @@ class Chunk:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, length: int):
         self.length, self.size, n = length, len(data), len(data)
-        self.sums = prefix(data)
+        self.spans = Spans(data)
         count = max(n - length + 1, 0)
         of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         end = offsets[1:][of] if n else np.zeros(0, np.int64)
@@ -90,65 +98,101 @@ class Chunk:
         self.valid = at + length <= end[:count]  # windows that cross no text's end
         self.of, self.doc = of[:count], doc
         if not count:
-            self.phrase_start = np.zeros(0, np.int64)
-            self.phrase_hash = self.phrase_doc = np.zeros(0, np.uint64)
-            self.phrase = np.zeros(0, np.int64)
+            self.phrase_start = self.phrase = np.zeros(0, np.int64)
+            self.phrases, self.phrase_doc = none(), np.zeros(0, np.uint64)
             return
         # triggers: starts of (length - 1)-byte strings, and the first window of each text
-        inner = window(self.sums, at, at + length - 1)
+        inner = self.spans.of(length - 1)[:count]
         first = np.zeros(count, bool)
         first[offsets[:-1][offsets[:-1] < count]] = True
         self.phrase_start = np.flatnonzero(self.valid & (first | (inner >> np.uint64(64 - PERIOD_BITS) == 0)))
         self.phrase = np.cumsum(np.bincount(self.phrase_start, minlength=count)) - 1  # of each window
-        last_window = end[self.phrase_start] - length  # of the text
-        follow = np.append(self.phrase_start[1:], count) - 1
-        stop = np.minimum(follow, last_window) + length
-        self.phrase_hash = window(self.sums, self.phrase_start, stop)
+        self.windows = self.spans.of(length)
         self.phrase_doc = doc[of[self.phrase_start]]
+        self.phrases = none()
+        if len(self.phrase_start):
+            place = at - self.phrase_start[np.maximum(self.phrase, 0)]
+            # of its windows with their places: all of its bytes in their order
+            each = mix64(self.windows + place.astype(np.uint64) * _GOLD)
+            each[~self.valid] = 0
+            total = mix64(np.add.reduceat(each, self.phrase_start))
+            # and of every eighth window's bytes, and the last one's, by another hash
+            some = self.valid & ((place & 7 == 0) | ~np.append(self.valid[1:], False))
+            some = np.flatnonzero(some)
+            other = np.zeros(count, np.uint64)
+            other[some] = mix64(self.bytes_of(some) + place[some].astype(np.uint64) * _GOLD)
+            self.phrases = total, (np.add.reduceat(other, self.phrase_start) >> np.uint64(48)).astype(np.uint16)
+
+    def bytes_of(self, at: np.ndarray) -> np.ndarray:
+        """A sum over the words of 8 bytes of windows."""
+        out = np.zeros(len(at), np.uint64)
+        for k, place in enumerate([*range(0, self.length - 8, 8), max(self.length - 8, 0)]):
+            out += self.spans.words[at + place] * _ODD[k % 8]
+        return out
 
     def anchors(self) -> np.ndarray:
         k, count = min(KMER, self.length), len(self.valid)
-        place = np.arange(self.size - k + 1)
-        return sliding_min(window(self.sums, place, place + k), self.length - k + 1)[:count] if count else np.zeros(0, np.uint64)
+        return sliding_min(self.spans.of(k), self.length - k + 1)[:count] if count else np.zeros(0, np.uint64)
 
-    def hashes(self, at: np.ndarray) -> np.ndarray:
-        return window(self.sums, at, at + self.length)
+    def keys(self, at: np.ndarray) -> Keys:
+        return self.windows[at] if len(at) else none()[0], (mix64(self.bytes_of(at)) >> np.uint64(48)).astype(np.uint16)
 
 
 def chunks(table: pa.Table, length: int):
-    """(Chunk, first row, end row) of a block."""
+    """(Chunk, first row, end row, data, offsets of its rows in data) of a block; a text beyond the limit comes in parts that overlap."""
     col = table.column("text").combine_chunks()
     data, offsets = string_bytes(col if isinstance(col, pa.Array) else pa.array([], pa.string()))
     ids = table.column("id").fill_null(-(1 << 63)).to_numpy().astype(np.int64)
     doc = ids.view(np.uint64) ^ _SIGN
     for a, b in pieces(offsets, CHUNK_BYTES):
-        yield Chunk(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], doc[a:b], length), a, b, data, offsets
-
-
-def least(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes with their smallest and largest document."""
+        start, end = int(offsets[a]), int(offsets[b])
+        if b - a > 1 or end - start <= CHUNK_BYTES:
+            yield Chunk(data[start:end], offsets[a : b + 1] - start, doc[a:b], length), start
+            continue
+        for at in range(start, end, CHUNK_BYTES):
+            part = data[at : min(at + CHUNK_BYTES + length - 1, end)]
+            yield Chunk(part, np.array([0, len(part)]), doc[a:b], length), at
+
+
+def least(keys: Keys, doc: np.ndarray) -> tuple[Keys, np.ndarray, np.ndarray]:
+    """Distinct keys with their smallest and largest document."""
+    h, c = keys
     if not len(h):
-        return h, doc, doc
+        return keys, doc, doc
     order = np.argsort(h, kind="stable")
-    h, doc = h[order], doc[order]
-    at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    return h[at], np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
-
-
-def lookup(keys: np.ndarray, values: np.ndarray, ask: np.ndarray) -> np.ndarray:
-    """The value of each asked key, ``_NONE`` without one."""
-    if not len(keys):
-        return np.full(len(ask), _NONE, np.uint64)
-    at = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
-    return np.where(keys[at] == ask, values[at], _NONE)
+    same = h[order[1:]] == h[order[:-1]]
+    if (same & (c[order[1:]] != c[order[:-1]])).any():  # different keys with one hash
+        order = np.lexsort((c, h))
+        same = h[order[1:]] == h[order[:-1]]
+    h, c, doc = h[order], c[order], doc[order]
+    at = np.flatnonzero(np.append(True, ~(same & (c[1:] == c[:-1]))))
+    return (h[at], c[at]), np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
+
+
+def lookup(keys: Keys, values: np.ndarray, ask: Keys) -> np.ndarray:
+    """The value of each asked key, ``_NONE`` without one; ``keys`` are in the order of their hashes."""
+    h, c = keys
+    out = np.full(len(ask[0]), _NONE, np.uint64)
+    if not len(h):
+        return out
+    at = np.searchsorted(h, ask[0])
+    rest = np.arange(len(at))
+    while len(rest):  # again only for different keys with one hash
+        rest = rest[at[rest] < len(h)]
+        rest = rest[h[at[rest]] == ask[0][rest]]
+        hit = c[at[rest]] == ask[1][rest]
+        out[rest[hit]] = values[at[rest[hit]]]
+        rest = rest[~hit]
+        at[rest] += 1
+    return out
 
 
 class Block:
     """What a block knows: the smallest document of its phrases, and what it was told."""
 
     def __init__(self, table: pa.Table, length: int):
-        phrases = [(c.phrase_hash, c.phrase_doc) for c, *_ in chunks(table, length)]
-        self.phrases, self.phrase_doc, _ = least(*(np.concatenate(x) for x in zip(*phrases, strict=True))) if phrases else (np.zeros(0, np.uint64),) * 3
+        found = [(c.phrases, c.phrase_doc) for c, _ in chunks(table, length)]
+        self.phrases, self.phrase_doc, _ = least(joined([k for k, _ in found]), np.concatenate([np.zeros(0, np.uint64), *(d for _, d in found)]))
 
     def hear(self, answers: pa.Table) -> None:
         kinds, raw = answers.column("kind").to_pylist(), answers.column("payload").to_pylist()
@@ -159,15 +203,15 @@ class Block:
             else:
                 pairs[kind].append(unpack(x))
         self.multi = np.unique(np.concatenate([*tags, np.zeros(0, np.uint64)]))
-        for kind in pairs:
-            h, d = (np.concatenate([*x, np.zeros(0, np.uint64)]) for x in (zip(*pairs[kind], strict=True) if pairs[kind] else ((), ())))
-            order = np.argsort(h)
-            pairs[kind] = h[order], d[order]
+        for kind, found in pairs.items():
+            keys, doc = joined([k for k, _ in found]), np.concatenate([np.zeros(0, np.uint64), *(d for _, d in found)])
+            order = np.argsort(keys[0], kind="stable")
+            pairs[kind] = pick(keys, order), doc[order]
         self.elsewhere, self.window_elsewhere = pairs[PHRASES], pairs[WINDOWS]
 
     def settled(self, c: Chunk) -> np.ndarray:
         """For each window: is it a repeat by its phrase."""
-        smallest = np.minimum(lookup(self.phrases, self.phrase_doc, c.phrase_hash), lookup(*self.elsewhere, c.phrase_hash))
+        smallest = np.minimum(lookup(self.phrases, self.phrase_doc, c.phrases), lookup(*self.elsewhere, c.phrases))
         later = smallest < c.phrase_doc
         out = np.zeros(len(c.valid), bool)
         out[c.valid] = later[c.phrase[c.valid]]
@@ -176,12 +220,13 @@ class Block:
     def open_anchors(self, table: pa.Table, length: int) -> np.ndarray:
         """The sorted anchors of the windows that are not settled; those of several documents stand twice."""
         found = []
-        for c, *_ in chunks(table, length):
+        for c, _ in chunks(table, length):
             rest = np.flatnonzero(c.valid & ~self.settled(c))
             a, d = c.anchors()[rest], c.doc[c.of[rest]]
             new = np.append(True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])) if len(a) else np.zeros(0, bool)
             found.append((a[new], d[new]))
-        a, low, high = least(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.zeros(0, np.uint64),) * 3
+        a, d = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
+        (a, _), low, high = least((a, np.zeros(len(a), np.uint16)), d)
         return np.repeat(a, 1 + (low != high))
 
     def split(self, c: Chunk, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,18 +255,13 @@ _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.in
 SENT = "bucket int, block int, kind int, payload binary"
 
 
-def send(block: int, buckets: int, **kinds) -> list[tuple[int, int, int, bytes]]:
-    out = []
-    for kind, (h, doc) in kinds.items():
-        kind = {"anchors": ANCHORS, "phrases": PHRASES, "windows": WINDOWS}[kind]
-        b = bucket_of(h, buckets)
-        order = np.argsort(b, kind="stable")  # the hashes stay sorted in each bucket
-        b, h = b[order], h[order]
-        cuts = [*np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b)] if len(b) else []
-        for i, j in pairwise(cuts):
-            raw = planes(h[i:j], 5) if kind == ANCHORS else pack(h[i:j], doc[order[i:j]])
-            out.append((int(b[i]), block, kind, raw))
-    return out
+def send(block: int, buckets: int, kind: int, keys: Keys, doc: np.ndarray | None = None) -> list[tuple[int, int, int, bytes]]:
+    b = bucket_of(keys[0], buckets)
+    order = np.argsort(b, kind="stable")  # the hashes stay sorted in each bucket
+    b, keys = b[order], pick(keys, order)
+    cuts = [*np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b)] if len(b) else []
+    raw = lambda i, j: planes(keys[0][i:j], 5) if kind == ANCHORS else pack(pick(keys, slice(i, j)), doc[order[i:j]])
+    return [(int(b[i]), block, kind, raw(i, j)) for i, j in pairwise(cuts)]
 
 
 def rows(sent: list[tuple[int, int, int, bytes]]) -> pa.Table:
@@ -234,30 +274,27 @@ def answer(table: pa.Table) -> pa.Table:
     out = []
     bucket = table.column("bucket")[0].as_py() if len(table) else 0
     blocks, kinds, raw = (table.column(c).to_pylist() for c in ("block", "kind", "payload"))
-    for kind in set(kinds):
+    for kind in sorted(set(kinds)):
         mine = [i for i, k in enumerate(kinds) if k == kind]
-        got = [(words(raw[i], 5), None) if kind == ANCHORS else unpack(raw[i]) for i in mine]
-        sizes = [len(h) for h, _ in got]
-        h = np.concatenate([x for x, _ in got])
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        first = np.append(True, s[1:] != s[:-1])
         if kind == ANCHORS:
-            told = np.empty(len(h), bool)
+            tags = [words(raw[i], 5) for i in mine]
+            sizes, keys = [len(x) for x in tags], (np.concatenate(tags), None)
+            order = np.argsort(keys[0], kind="stable")
+            s = keys[0][order]
+            first = np.append(True, s[1:] != s[:-1])
+            told = np.empty(len(s), bool)
             told[order] = ~first | np.append(s[1:] == s[:-1], False)
-            best = None
         else:
-            doc = np.concatenate([d for _, d in got])
-            at = np.flatnonzero(first)
-            low = np.minimum.reduceat(doc[order], at)
-            best = np.empty(len(h), np.uint64)
-            best[order] = low[np.cumsum(first) - 1]
+            got = [unpack(raw[i]) for i in mine]
+            sizes, keys, doc = [len(d) for _, d in got], joined([k for k, _ in got]), np.concatenate([d for _, d in got])
+            all_keys, low, _ = least(keys, doc)
+            best = lookup(all_keys, low, keys)
             told = best < doc
         ends = np.cumsum(sizes)
         for i, e, n in zip(mine, ends, sizes, strict=True):
             part = np.flatnonzero(told[e - n : e]) + e - n
             if len(part):
-                out.append((bucket, blocks[i], kind, planes(h[part], 5) if kind == ANCHORS else pack(h[part], best[part])))
+                out.append((bucket, blocks[i], kind, planes(keys[0][part], 5) if kind == ANCHORS else pack(pick(keys, part), best[part])))
     return rows(out)
 
 
@@ -267,7 +304,7 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(int(-(-size // block_bytes)), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = min(-(-blocks // BLOCKS_A_BUCKET), MAX_BUCKETS)  # a message for each block and bucket, so not too many
+    buckets = -(-blocks // BLOCKS_A_BUCKET)
     dealt = src.select("id", "text", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
 
     def number(table: pa.Table) -> int:
@@ -275,31 +312,32 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
 
     def ask_phrases(table: pa.Table) -> pa.Table:
         b = Block(table, length)
-        return rows(send(number(table), buckets, phrases=(b.phrases, b.phrase_doc)))
+        return rows(send(number(table), buckets, PHRASES, b.phrases, b.phrase_doc))
 
     def ask_anchors(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
             return rows([])
         b = Block(table, length)
         b.hear(answers)
-        return rows(send(number(table), buckets, anchors=(b.open_anchors(table, length), None)))
+        open_ = b.open_anchors(table, length)
+        return rows(send(number(table), buckets, ANCHORS, (open_, np.zeros(len(open_), np.uint16))))
 
     def looked_up(b: Block, table: pa.Table):
-        """For each chunk: its settled windows; place, hash and document of those to look up; and where it lies."""
-        for c, *where in chunks(table, length):
+        """For each chunk: its settled windows; place, key and document of those to look up; and where it lies."""
+        for c, where in chunks(table, length):
             settled, at = b.split(c, buckets)
-            yield settled, at, c.hashes(at), c.doc[c.of[at]], where
+            yield settled, at, c.keys(at), c.doc[c.of[at]], where
 
-    def smallest_of(parts):
-        found = [least(h, doc)[:2] for _, _, h, doc, _ in parts]
-        return least(*(np.concatenate(x) for x in zip(*found, strict=True)))[:2]
+    def smallest_of(parts) -> tuple[Keys, np.ndarray]:
+        found = [least(keys, doc)[:2] for _, _, keys, doc, _ in parts]
+        return least(joined([k for k, _ in found]), np.concatenate([np.zeros(0, np.uint64), *(d for _, d in found)]))[:2]
 
     def ask_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
             return rows([])
         b = Block(table, length)
         b.hear(answers)
-        return rows(send(number(table), buckets, windows=smallest_of(looked_up(b, table))))
+        return rows(send(number(table), buckets, WINDOWS, *smallest_of(looked_up(b, table))))
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         n_removed, n_spans, kept = [], [], []
@@ -308,20 +346,22 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
             b.hear(answers)
             parts = list(looked_up(b, table))
             own = smallest_of(parts)
-            for gone, at, h, doc, (i, j, data, offsets) in parts:
-                smallest = np.minimum(lookup(*own, h), lookup(*b.window_elsewhere, h))
+            data, offsets = string_bytes(table.column("text").combine_chunks())
+            cover = np.zeros(len(data), bool)
+            for gone, at, keys, doc, where in parts:
+                smallest = np.minimum(lookup(*own, keys), lookup(*b.window_elsewhere, keys))
                 gone[at[smallest < doc]] = True
-                base = offsets[i]
-                step = np.zeros(offsets[j] - base + 1, np.int32)
+                step = np.zeros(len(gone) + length, np.int32)
                 hit = np.flatnonzero(gone)
                 step[hit] += 1
                 step[hit + length] -= 1
-                cover = np.cumsum(step)[:-1] > 0
-                for x, y in zip(offsets[i:j] - base, offsets[i + 1 : j + 1] - base, strict=True):
-                    mask = cover[x:y]
-                    n_removed.append(int(mask.sum()))
-                    n_spans.append(int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()))
-                    kept.append(data[base + x : base + y][~mask].tobytes())
+                some = np.cumsum(step)[: len(gone) + length - 1] > 0
+                cover[where : where + len(some)] |= some[: len(cover) - where]
+            for x, y in pairwise(offsets.tolist()):
+                mask = cover[x:y]
+                n_removed.append(int(mask.sum()))
+                n_spans.append(int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()))
+                kept.append(data[x:y][~mask].tobytes())
         lens = pa.array([len(k) + r for k, r in zip(kept, n_removed, strict=True)], pa.int64())
         return pa.Table.from_arrays(
             [table.column("id").combine_chunks() if len(table) else pa.array([], pa.int64()), lens, pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())],
