@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialise
 
-MAX_ROUNDS = 60
-
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (u, v): u's neighbours point to the smallest of them and u."""
@@ -32,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         after = materialise(_star(_star(now, True), False), "edges")
         print_of = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         discard(now)
@@ -40,4 +38,3 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(print_of) == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = tuple(print_of)
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -18,12 +18,14 @@ and the share of equal coordinates estimates the Jaccard similarity with concent
    and only confirmed links come out, one for each component. After this every candidate pair is either in one component
    or was checked.
 
-So no bucket is capped and no link is lost but by the chance in 2. No groups are collected: buckets, clusters and components
+Shingles are compared by 64-bit hashes of their words, which are mixed without algebraic structure: two sets of n and m shingles
+share a false one with a chance below (n + m)^2 / 2^65. So no bucket is capped and no link is lost but by the chance in 2. No groups are collected: buckets, clusters and components
 are aggregated with map-side combine and joined by sort-merge joins that AQE may split.
 
 Defined results: null, empty or wordless texts have no shingles and are linked with nothing; a text with
 fewer words than a shingle has one shingle of all its words; rows with the same doc_id are one node; a null
-doc_id is a copy if its class has an id and stays by itself otherwise; an empty table gives an empty result.
+doc_id is a copy if its class has an id and stays by itself otherwise; a very long text or word is taken whole; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, mix64, pieces, string_bytes
+from .common import discard, free_name, materialise, mix64, pieces, string_bytes
 from .components import components
 from .hashing import grams, tokens
 
@@ -184,6 +186,7 @@ def between(pairs: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
     split = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("size", "comp")).alias("major"), F.count("*").alias("comps"), F.sum("size").alias("all"), F.max("size").alias("most"))
     blocks = lambda n: F.ceil(n / F.lit(SEARCH_BLOCK)).cast("int")
     split = split.where("comps > 1").select("cluster", "major", blocks(F.col("all")).alias("n_all"), blocks(F.col("all") - F.col("most")).alias("n_asks"))
+    split = materialise(split, "split")  # read from a table, so that the join below can deal out a large cluster anew
     members = placed.join(split.hint("merge"), "cluster").join(sets.hint("merge"), "id")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -234,15 +237,16 @@ def op7(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest doc_id (null comes last).
 
-    Rows are told apart by a key in a written table, so rows that share a doc_id or have none are judged one by one.
+    Rows are told apart by a key in a written table, so rows that share a doc_id or have none are judged one by one. Columns
+    pass as they are, whatever their names.
     """
     columns = docs.columns
-    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    linked = link(rows.select("__row", "text"), width, percent, id_col="__row").select("__row", F.col("component_id").alias("__of"))
-    linked = materialise(linked, "linked")
-    crowds = linked.groupBy("__of").agg(F.count("*").alias("n")).where("n > 1").select("__of")
-    members = linked.join(crowds.hint("merge"), "__of").join(rows.select("__row", F.col("doc_id").cast("long").alias("__id")).hint("merge"), "__row")
-    members = materialise(members, "members")
-    first = members.groupBy("__of").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).getField("__row").alias("__row"))
-    gone = members.join(first.select("__row").hint("merge"), "__row", "left_anti").select("__row")
-    return rows.join(gone.hint("merge"), "__row", "left_anti").select(*columns)
+    row, gone_row = free_name(columns, "row"), free_name(columns, "gone_row")
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    plain = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("own"), "text")
+    linked = materialise(link(plain, width, percent, id_col="row").select("row", F.col("component_id").alias("of")), "linked")
+    crowds = linked.groupBy("of").agg(F.count("*").alias("n")).where("n > 1").select("of")
+    members = materialise(linked.join(crowds.hint("merge"), "of").join(plain.select("row", "own").hint("merge"), "row"), "members")
+    first = members.groupBy("of").agg(F.min(F.struct(F.col("own").isNull(), "own", "row")).getField("row").alias("row"))
+    gone = members.join(first.select("row").hint("merge"), "row", "left_anti").select(F.col("row").alias(gone_row))
+    return rows.join(gone.hint("merge"), F.col(row) == F.col(gone_row), "left_anti").select(*columns)
