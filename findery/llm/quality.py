@@ -3,7 +3,7 @@
 A document is the average of learned vectors: one for each hashed word, word pair and character
 n-gram (3 to 5 bytes of UTF-8, white space counting as a word's edge). A softmax layer over that
 average gives the classes. Trained on the driver by numpy stochastic gradient descent over a bounded
-sample of the labelled rows (``MAX_TRAIN_DOCS``, those with the smallest hash of the id; whole texts);
+sample of the labelled rows (``MAX_TRAIN_DOCS`` and ``MAX_TRAIN_BYTES``, those with the smallest hash of the id; whole texts);
 featurised on the executors and sent as counts of buckets.
 
 With two classes the layers collapse: a document's log odds are the average of one number for each
@@ -11,7 +11,8 @@ bucket, so what is broadcast for scoring is ``BUCKETS`` floats whatever the corp
 
 Defined results: null and empty texts have the end feature alone and get its score; labels that are
 null or belong to no document are ignored; a doc_id that is labelled twice counts once, with the larger
-label; rows with the same doc_id are scored one by one; without both classes among the training labels
+label; of the texts of a labelled doc_id that repeats the least one is learned; rows with the same doc_id are scored one by one; a very
+long text or word is taken whole; other columns pass as they are, whatever their names; without both classes among the training labels
 every score is the share of label 1 (0.5 with no label at all); an empty table gives an empty result.
 """
 
@@ -19,10 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import is_space_table, pieces, string_bytes
+from .common import free_name, is_space_table, materialise, pieces, string_bytes
+from .hashing import strings
 
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
@@ -30,6 +32,7 @@ DIM = 16
 EPOCHS = 6
 RATE = 0.5
 MAX_TRAIN_DOCS = 3000
+MAX_TRAIN_BYTES = 24 << 20
 THRESHOLD = 0.3
 CHUNK_BYTES = 1 << 19
 
@@ -75,12 +78,8 @@ def features(data: np.ndarray, offsets: np.ndarray):
     starts = np.flatnonzero(solid[1:] & space[:-1]) + 1
     if not len(starts):
         return
-    run = np.cumsum(solid[1:] & space[:-1])  # the word of each position from 1 on
-    place = np.arange(1, size) - starts[np.maximum(run - 1, 0)]
-    place = np.minimum(np.maximum(place, 0), 63)  # bytes beyond count alike
-    powers = np.cumprod(np.full(64, 0x9E3779B1, np.uint32), dtype=np.uint32)
-    value = np.where(solid[1:], code[1:] * powers[place], np.uint32(0))
-    words = np.add.reduceat(value, starts - 1, dtype=np.uint32)
+    ends = np.flatnonzero(solid[:-1] & space[1:]) + 1  # white space ends every document, so every word
+    words = (strings(padded, starts, ends) >> np.uint64(32)).astype(np.uint32)
     of = owner[starts]
     yield of, _bucket(words, 1)
     pair = of[1:] == of[:-1]
@@ -131,7 +130,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, limit: int
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & usable)
     known = known.groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("label"))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most ``limit`` short rows
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int = MAX_TRAIN_DOCS) -> tuple[np.ndarray, float]:
@@ -142,27 +142,29 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int = MAX_
             for a, b in pieces(offsets, CHUNK_BYTES):
                 rows += counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([x.tobytes() for x, _ in rows], pa.binary()), pa.array([np.minimum(n, 65535).astype(np.uint16).tobytes() for _, n in rows], pa.binary())],
+                [batch.column(0), batch.column(2), pa.array([x.tobytes() for x, _ in rows], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in rows], pa.binary())],
                 names=["doc_id", "label", "buckets", "times"],
             )
 
     rows = training_rows(docs, labels, usable, max_docs)
+    rows = materialise(rows.withColumn("text", F.coalesce("text", F.lit(""))), "labelled")
+    sizes = rows.select("doc_id", F.octet_length("text").cast("long").alias("size"))  # at most ``max_docs`` rows
+    before = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")) - F.col("size")
+    few = sizes.withColumn("before", before).where(F.col("before") < MAX_TRAIN_BYTES).select("doc_id")
+    rows = rows.join(F.broadcast(few), "doc_id", "left_semi")
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = rows.select("doc_id", "text", "label").mapInArrow(featurise, f"doc_id {kind}, label int, buckets binary, times binary").collect()
     got.sort(key=lambda r: r[0])
     return train(
-        [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.uint16).astype(np.float32)) for r in got], [r[1] for r in got]
+        [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32).astype(np.float32)) for r in got], [r[1] for r in got]
     )
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """``docs`` with a last column ``quality_score``: the probability of label 1."""
+    """``docs`` with a last column ``quality_score`` (``_`` behind it where that name is taken): the probability of label 1."""
     weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
-    columns = [c for c in docs.columns if c != "quality_score"]
-    first = "scored_text"
-    while first in columns:
-        first += "_"
+    columns, last, first = docs.columns, free_name(docs.columns, "quality_score"), free_name(docs.columns, "scored_text")
     src = docs.select(F.col("text").cast("string").alias(first), *columns)
 
     def run(batches):
@@ -176,11 +178,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                     total += np.bincount(doc, w[bucket], b - a)
                     times += np.bincount(doc, minlength=b - a)
                 out[a:b] = 1 / (1 + np.exp(-(total / times + b0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out)], names=[*columns, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out)], names=[*columns, last])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    schema = StructType([*(src.schema[c] for c in columns)]).add("quality_score", DoubleType())
+    schema = StructType([*(src.schema[c] for c in columns)]).add(last, DoubleType())
     return src.mapInArrow(run, schema)
 
 
@@ -199,4 +201,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts, with their columns."""
     model = fit(docs, labels, fold(5) != 0)
     columns = docs.columns
-    return score(docs, model).where(F.col("quality_score") >= THRESHOLD).select(*columns)
+    return score(docs, model).where(F.col(free_name(columns, "quality_score")) >= THRESHOLD).select(*columns)
