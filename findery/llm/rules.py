@@ -8,14 +8,14 @@ combine: a source with a third of all rows adds a bounded number of rows per tas
 most a few hundred bins whatever its size.
 
 A group's fences are Q1 - K * spread and Q3 + K * spread, the spread being the larger of Q3 - Q1 and
-a floor, so a group without variation does not reject its own noise. Sketches of groups under
-``MIN_GROUP`` documents are merged with all others of their language, and languages below it with
-all. Fences join back on (lang, source), with the documents' side salted and the small side
-repeated once a salt.
+a floor, so a group without variation does not reject its own noise. A group's quartiles are drawn towards its
+language's, and these towards everyone's, by the weight of ``PRIOR`` documents: n own documents count n / (n + PRIOR), so
+small groups lean on the larger ones without a size at which the rule changes. Fences are a written table with a row a group; Spark
+broadcasts it where its size allows and else joins by (lang, source), where it may split a hot group's rows.
 
 Defined results: a null text is empty; null lang or source is a group of its own; repeated rows are
-judged one by one (and counted one by one); an empty table gives an empty result; further columns
-are not carried.
+judged one by one (and counted one by one); a very long text is counted whole; an empty table gives an empty result;
+further columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 from .common import SPACE_CHARS, materialise, text_or_empty, words_of
 
 GAMMA = 1.02
-MIN_GROUP = 200
+PRIOR = 200
 K = 4.0
-SALTS = 64
 #: metric: the least spread that counts.
 METRICS = {"chars_per_word": 1.0, "symbols_per_word": 0.05, "dup_line_share": 0.10, "repeat_share": 0.10}
 #: Added to each ratio before the logarithm, so zero has a bin.
@@ -103,8 +102,8 @@ def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return run.groupBy(*keys, "metric").agg(F.max("total").alias("total"), at(0.25).alias("q1"), at(0.75).alias("q3"))
 
 
-def fences(sketch: DataFrame, min_group: int = MIN_GROUP, k: float = K) -> DataFrame:
-    """lang, source, metric, lo, hi: own quantiles, or the language's, or everyone's."""
+def fences(sketch: DataFrame, prior: int = PRIOR, k: float = K) -> DataFrame:
+    """lang, source, metric, lo, hi: own quartiles, drawn towards the language's and everyone's."""
     own = quantiles(sketch, ["lang", "source"])
     lang = quantiles(sketch, ["lang"]).select(
         F.col("lang").alias("l2"), F.col("metric").alias("m2"), F.col("total").alias("t2"), F.col("q1").alias("a2"), F.col("q3").alias("b2")
@@ -113,27 +112,25 @@ def fences(sketch: DataFrame, min_group: int = MIN_GROUP, k: float = K) -> DataF
     j = own.join(lang, own.lang.eqNullSafe(F.col("l2")) & (own.metric == F.col("m2"))).join(
         F.broadcast(every), F.col("metric") == F.col("m3")  # one row a metric
     )
-    pick = lambda a, b, c: F.when(F.col("total") >= min_group, F.col(a)).when(F.col("t2") >= min_group, F.col(b)).otherwise(F.col(c))
+    drawn = lambda n, x, to: (F.col(n) * F.col(x) + prior * to) / (F.col(n) + prior)
+    quartile = lambda x, by_lang, by_all: drawn("total", x, drawn("t2", by_lang, F.col(by_all)))
     floor = F.coalesce(*[F.when(F.col("metric") == m, F.lit(v)) for m, v in METRICS.items()])
-    j = j.select("lang", "source", "metric", pick("q1", "a2", "a3").alias("q1"), pick("q3", "b2", "b3").alias("q3"), floor.alias("floor"))
+    j = j.select("lang", "source", "metric", quartile("q1", "a2", "a3").alias("q1"), quartile("q3", "b2", "b3").alias("q3"), floor.alias("floor"))
     spread = F.greatest(F.col("q3") - F.col("q1"), F.col("floor"))
     return j.select("lang", "source", "metric", (F.col("q1") - k * spread).alias("lo"), (F.col("q3") + k * spread).alias("hi"))
 
 
-def judge(counts: DataFrame, min_group: int = MIN_GROUP, k: float = K) -> DataFrame:
+def judge(counts: DataFrame, prior: int = PRIOR, k: float = K) -> DataFrame:
     """``counts`` with ``base_failed``, the failing metric (or null) and ``kept``."""
-    limits = fences(sketches(counts), min_group, k).groupBy("lang", "source").agg(
+    limits = fences(sketches(counts), prior, k).groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(
         *[F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{side}_{m}") for m in METRICS for side in ("lo", "hi")]
     )
-    limits = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(
-        F.col("lang").alias("l"), F.col("source").alias("s"), "salt", *[f"{side}_{m}" for m in METRICS for side in ("lo", "hi")]
-    )
-    rows = counts.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
-    on = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("dealt") == F.col("salt"))
+    limits = materialise(limits, "fences")
+    on = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))
     value = ratios()
     broken = F.coalesce(*[F.when((value[m] < F.col(f"lo_{m}")) | (value[m] > F.col(f"hi_{m}")), F.lit(m)) for m in METRICS])
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.join(limits, on).select(*counts.columns, base.alias("base_failed"), broken.alias("broken"), (~base & broken.isNull()).alias("kept"))
+    return counts.join(limits, on).select(*counts.columns, base.alias("base_failed"), broken.alias("broken"), (~base & broken.isNull()).alias("kept"))
 
 
 def op9(docs: DataFrame) -> DataFrame:
