@@ -9,21 +9,23 @@
    is an article or holds text of its own that is not links (without any: to the outermost main), and the blocks
    below are the page's text. A page without that path uses its own best container.
 
-The winning paths (one a host) are counted first: up to ``BROADCAST_HOSTS`` they are broadcast and no
-page is shuffled; beyond, pages join them on (host, salt), salted so that a hot host spreads out.
+Paths are kept as digests of 16 letters, each made of its parent's, so deep pages take time in proportion. The winning ones (one a host)
+are a written table: up to ``BROADCAST_BYTES`` of hosts and digests they are broadcast and no page is shuffled; beyond, pages join them on (host, salt), salted so that a hot host spreads out.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left
 out by tag, role, and words of class and id. Headings in an article's own header stay.
 
 Defined results: a null, empty or textless page has the text ''; a null url has the host ''; rows are
 independent, so repeated rows and ids do not matter; broken markup (tags, quotes or comments that are
-never closed) is read as far as it goes; an empty table gives an empty result.
+never closed) is read as far as it goes; very long and very deep pages are read whole; other columns are not read, so their names
+cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-BROADCAST_HOSTS = 50_000
+BROADCAST_BYTES = 4 << 20
 SALTS = 64
 
 _TOKEN = re.compile(
@@ -96,14 +98,14 @@ class Page:
     """The containers and the text blocks of one page."""
 
     def __init__(self, source: str):
-        self.parent, self.label, self.tag = [-1], [""], [""]  # container 0 is the page
+        self.parent, self.path, self.tag = [-1], [""], [""]  # container 0 is the page
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
         self._read(source)
 
     def _node(self, parent: int, tag: str, attrs: dict[str, str]) -> int:
         names = ".".join(sorted(re.sub(r"\d+", "#", c) for c in attrs.get("class", "").split()))
         self.parent.append(parent)
-        self.label.append(f"{tag}.{names}" if names else tag)
+        self.path.append(blake2b(f"{self.path[parent]}>{tag}.{names}".encode("utf-8", "replace"), digest_size=8).hexdigest())
         self.tag.append(tag)
         return len(self.parent) - 1
 
@@ -187,13 +189,6 @@ class Page:
             state()
         flush()
 
-    def path(self, node: int) -> str:
-        out = []
-        while node > 0:
-            out.append(self.label[node])
-            node = self.parent[node]
-        return ">".join(reversed(out))
-
     def scores(self) -> dict[int, float]:
         out: dict[int, float] = {}
         for node, text, links in self.blocks:
@@ -209,7 +204,7 @@ class Page:
         """The paths, best first, with their thousandths of all the page's scores."""
         by_path: dict[str, float] = {}
         for node, x in self.scores().items():
-            p = self.path(node)
+            p = self.path[node]
             by_path[p] = by_path.get(p, 0.0) + x
         total = sum(by_path.values())
         best = sorted(by_path.items(), key=lambda kv: (-kv[1], kv[0]))
@@ -225,10 +220,10 @@ class Page:
 
     def text(self, path: str | None) -> str:
         """All blocks below the lifted containers of a path, in page order."""
-        roots = {i for i in range(1, len(self.parent)) if self.path(i) == path} if path else set()
+        roots = {i for i in range(1, len(self.parent)) if self.path[i] == path} if path else set()
         if not roots:
             own = self.votes()
-            roots = {i for i in range(len(self.parent)) if own and self.path(i) == own[0][0]}
+            roots = {i for i in range(len(self.parent)) if own and self.path[i] == own[0][0]}
         own_text = {node for node, text, links in self.blocks if len(text) > 2 * links}
         roots = {self.lifted(i, own_text) for i in roots}
         inside = [False] * len(self.parent)
@@ -257,7 +252,8 @@ def extract(pages: DataFrame) -> DataFrame:
     votes = src.select("host", "html").mapInArrow(vote, "host string, path string, votes long")
     sums = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     winners = materialise(sums.groupBy(F.col("host").alias("at")).agg(F.max_by("path", F.struct("votes", "path")).alias("path")), "paths")
-    if winners.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+    size = winners.agg(F.sum(F.octet_length("at") + F.octet_length("path"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         joined = src.join(F.broadcast(winners), F.col("host") == F.col("at"), "left")
     else:
         many = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

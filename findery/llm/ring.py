@@ -1,7 +1,7 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads (DataFrame functions only).
 
 The ring has ``CELLS`` cells; every shard owns the cells up to each of its virtual nodes. A document's
-cell is the upper bits of the hash of its id. Shards have a capacity; documents of a cell whose shard is
+cell is the upper bits of the hash of its id and its text, so rows that share an id, or have none, spread out. Shards have a capacity; documents of a cell whose shard is
 full continue clockwise to the next shard with room. With ``slack`` 0 the capacities add up to the number
 of documents and differ by one at most (law ``rows``: counts at most one apart, for any data). With more
 slack fewer documents overflow and fewer move when a shard is added.
@@ -12,8 +12,12 @@ documents go to which shard (at most CELLS + 2 * shards + virtual nodes ranges);
 broadcast and joined by cell. Documents get their rank from one window by cell: a shuffle of the narrow
 columns only, and even, as ids are hashed.
 
+Groups: documents with equal texts are placed by their ids, each by itself, as sizes would be uneven if a large group
+stayed together; law ``rows`` holds whatever the groups.
+
 Defined results: a null text has no bytes; a null doc_id is hashed like any value; repeated rows are
-placed one by one; ties are broken by all columns that count; an empty table gives an empty result.
+placed one by one, in one cell; a very long text counts with all its bytes; ties are broken by all columns that count; other columns
+are not read, so their names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -85,7 +89,7 @@ def walk(counts: dict[int, int], shards: int, vnodes: int = VNODES, slack: float
 def assign(docs: DataFrame, shards: int = 40, vnodes: int = VNODES, slack: float = 0.0) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot."""
     spark = docs.sparkSession
-    cell = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - CELL_BITS).cast("int")
+    cell = F.shiftrightunsigned(F.xxhash64("doc_id", text_or_empty()), 64 - CELL_BITS).cast("int")
     counts = {r[0]: r[1] for r in docs.groupBy(cell.alias("cell")).count().collect()}  # CELLS rows at most
     parts = spark.createDataFrame(
         walk(counts, shards, vnodes, slack), "at int, first long, until long, shard int, first_slot long"
