@@ -180,6 +180,55 @@ def test_rule_counts(spark):
     assert got == {i: brute_rules(t) for i, t in enumerate(TEXTS)}
 
 
+def brute_kept(rows, prior=rules.PRIOR, k=rules.K):
+    """The verdict by definition: (lang, source, text) rows -> kept."""
+    import math
+
+    def ratios(text):
+        n, chars, symbols, dup, repeat, failed = brute_rules(text)
+        lines_ = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+        return failed, {"chars_per_word": chars / max(n, 1), "symbols_per_word": symbols / max(n, 1), "dup_line_share": dup / max(lines_, 1), "repeat_share": repeat / max(n, 1)}
+
+    facts = [(lang, source, *ratios(t)) for lang, source, t in rows]
+
+    def quartiles(of, metric):
+        bins = sorted(math.ceil(math.log(x[metric] + rules.OFFSET) / math.log(rules.GAMMA)) for x in of)
+        value = lambda b: 2 * rules.GAMMA**b / (rules.GAMMA + 1) - rules.OFFSET
+        return [value(bins[math.ceil(len(bins) * q) - 1]) for q in (0.25, 0.75)]
+
+    out = []
+    for lang, source, failed, own in facts:
+        ok = not failed
+        for metric, floor in rules.METRICS.items():
+            everyone = quartiles([f[3] for f in facts], metric)
+            group = [f[3] for f in facts if f[0] == lang]
+            drawn = [(len(group) * a + prior * b) / (len(group) + prior) for a, b in zip(quartiles(group, metric), everyone)]
+            group = [f[3] for f in facts if f[:2] == (lang, source)]
+            q1, q3 = ((len(group) * a + prior * b) / (len(group) + prior) for a, b in zip(quartiles(group, metric), drawn))
+            spread = max(q3 - q1, floor)
+            ok = ok and q1 - k * spread <= own[metric] <= q3 + k * spread
+        out.append(ok)
+    return out
+
+
+@pytest.mark.parametrize("size", [199, 200, 201])
+def test_rules_equal_brute_force(spark, size):
+    import random
+
+    rng = random.Random(size)
+    text = lambda words, mark: " ".join(rng.choice(words) + (mark if rng.random() < 0.3 else "") for _ in range(rng.randint(45, 90)))
+    plain, odd = [f"w{i}" for i in range(500)], ["longlonglongword" * 3, "#", "##"]
+    rows = [("en", "a", text(plain, "")) for _ in range(size)] + [("en", None, text(plain, "#")) for _ in range(60)] + [(None, "b", text(plain + odd * 30, "")) for _ in range(40)]
+    rows += [("de", "a", text(odd, "")), ("en", "a", text(odd, "")), ("en", "a", None), ("en", "a", " ".join(f"x{i}" for i in range(80_000)))]
+    df = spark.createDataFrame([(i, t, lang, source) for i, (lang, source, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    for c in ("n_lines", "broken", "bin", "metric", "lo", "l", "s"):
+        df = df.withColumn(c, F.lit(1))
+    got = {r.doc_id: r.kept for r in rules.op9(df).collect()}
+    want = brute_kept(rows)
+    assert [got[i] for i in range(len(rows))] == want
+    assert any(want) and not all(want)
+
+
 def test_rules_drop_outliers_and_keep_the_rest(spark):
     normal = [" ".join(f"word{(i * 31 + j * j) % 997}" for j in range(150)) for i in range(400)]
     odd = [" ".join(f"word{j} ####" for j in range(150)) for _ in range(2)]

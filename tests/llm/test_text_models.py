@@ -219,6 +219,36 @@ def test_classifier_edges(spark):
     assert kept.columns == df.columns
 
 
+def brute_features(text):
+    """What a text's features are, by kind: word, word pair, and n-grams of 3 to 5 bytes whose inner bytes are not white space."""
+    raw = b" " + re.sub(rb"[\x20\x09-\x0D]", b" ", text.encode()) + b" "
+    found = raw.split()
+    out = [("word", w) for w in found] + [("pair", a, b) for a, b in zip(found, found[1:])]
+    out += [("gram", raw[i : i + k]) for k in (3, 4, 5) for i in range(len(raw) - k + 1) if b" " not in raw[i + 1 : i + k - 1]]
+    return Counter([*out, "end"])
+
+
+def test_classifier_features_are_those_of_the_text():
+    import numpy as np
+
+    from findery.llm.common import string_bytes
+
+    rng = __import__("random").Random(3)
+    texts = ["", " ", "a", "one two", "two\tone\n", "é x", "b" * 70 + "c", "b" * 70 + "d", "cb" + "b" * 69, "x " * 70_000]
+    texts += ["".join(rng.choice("ab \n") for _ in range(40)) for _ in range(10)]
+    import pyarrow as pa
+
+    data, offsets = string_bytes(pa.array(texts))
+    got = [{int(b): int(n) for b, n in zip(*x, strict=True)} for x in quality.counts(data, offsets)]
+    for text, own in zip(texts, got, strict=True):
+        assert sum(own.values()) == sum(brute_features(text).values()), text[:50]
+        alone = quality.counts(*string_bytes(pa.array([text])))[0]
+        assert own == {int(b): int(n) for b, n in zip(*alone, strict=True)}
+    assert got[6] != got[7] and got[6] != got[8]  # bytes beyond the 63rd count, and so does their order
+    assert max(got[9].values()) > 65_535
+    assert isinstance(np.float32(got[9][max(got[9])]), np.float32)
+
+
 # --- 5 ---
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body class="home"><nav><a href="/">Menu</a></nav>
@@ -265,6 +295,17 @@ def test_host_consensus_overrules_a_page(spark):
     assert out[9] == "short" and out[0].startswith("main text here") and "aside" not in out[0]
 
 
+def test_extraction_of_deep_and_long_pages(spark):
+    import time
+
+    deep = "<div>" * 5000 + "<p>" + "deep text " * 50 + "</p>" + "</div>" * 5000
+    long = "<article>" + "<p>one paragraph of a long page</p>" * 40_000 + "</article>"
+    began = time.time()
+    out = {r.page_id: r.text for r in pages.op5(page_rows(spark, [(1, "https://d.de/", deep), (2, "https://l.de/", long)])).collect()}
+    assert out[1] == ("deep text " * 50).strip() and out[2] == " ".join(["one paragraph of a long page"] * 40_000)
+    assert time.time() - began < 60
+
+
 @pytest.mark.parametrize("broken", ["<p>a<", "<p>a<!-- b", "<p>a<script>b", "<p class='x>a", "</p></div>a", "<" * 2000, "<p>&#x41;&amp;amp;&bogus;"])
 def test_broken_markup(broken):
     p = pages.Page(broken)
