@@ -32,9 +32,9 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that do not hold half or more of a benchmark passage."""
+    """Documents that do not hold half or more of a benchmark passage (the last column that ``screen`` adds tells)."""
     found = decontam.screen(docs, read_table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    return found.where(~F.col(found.columns[-1])).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
