@@ -100,11 +100,11 @@ def index_statistics(spark, sf):
     return out.withColumn("avg_tokens", _r("avg_tokens"))
 
 
-@query(f"WITH {o.corpus()} SELECT doc_id, url, url AS canonical_url, title, '' AS description, language, 'text/html' AS content_type, 200::INT AS status_code FROM corpus WHERE doc_id <= 500")
+@query(f"WITH {o.corpus()} SELECT doc_id, url, url AS canonical_url, title, '' AS description, language, 'text/html' AS content_type, 200::INT AS status_code FROM corpus")
 def export_rows(spark, sf):
     """K9, O10, P16, S1-S5, S16"""
     d = index.export_rows(tables.corpus_index(spark, sf).documents)
-    return d.where("doc_id <= 500").select("doc_id", "url", "canonical_url", "title", "description", "language", "content_type", "status_code")
+    return d.select("doc_id", "url", "canonical_url", "title", "description", "language", "content_type", "status_code")
 
 
 @query(f"WITH {o.corpus()} SELECT url, doc_id + 1000000 * (doc_id % 3 = 0)::INT AS doc_id FROM corpus")
@@ -401,7 +401,7 @@ def _scored(spark, sf):
     d = d.withColumn("score", 1.0 / (1 + F.col("doc_id") % 97)).withColumn("content_fingerprint", text.fingerprint(F.col("title"), F.col("text")))
     d = d.withColumn("topic", F.concat(F.lit("t"), F.col("doc_id") % 5)).withColumn("domain", web.authority(F.col("url")))
     d = d.withColumn("qid", F.concat(F.lit("g"), F.col("doc_id") % 10))
-    return ranking.top(d, 1500)
+    return stored(ranking.top(d, 1500), "scored")
 
 
 @query()
@@ -501,7 +501,7 @@ def ndcg_mean(spark, sf):
 # --- graph --------------------------------------------------------------------------------------------------
 
 _EDGES = (
-    "n AS (SELECT count(*) AS n FROM supplier), e AS (SELECT DISTINCT l_suppkey::BIGINT AS src, (l_partkey % n)::BIGINT AS dst FROM lineitem, n WHERE l_orderkey % 20 = 0 AND l_suppkey % 7 <> 0 AND l_suppkey <> l_partkey % n),"
+    "n AS (SELECT count(*) AS n FROM supplier), e AS (SELECT DISTINCT l_suppkey::BIGINT AS src, (l_partkey % n)::BIGINT AS dst FROM lineitem, n WHERE l_suppkey % 7 <> 0 AND l_suppkey <> l_partkey % n),"
     " deg AS (SELECT src, count(*) AS d FROM e GROUP BY src)"
 )
 
@@ -554,11 +554,11 @@ _VOCAB = f"WITH {o.corpus()}, ws AS (SELECT unnest(regexp_extract_all(lower(titl
 _ASKED = "('esstion'), ('ndtoin'), ('ersh'), ('enlichh'), ('inging'), ('qqqqqqq')"
 
 
-@query(f"{_VOCAB}, t(token) AS (VALUES {_ASKED}) SELECT token, word, levenshtein(token, regexp_replace(word, '[^\x00-\x7F]', '?', 'g'))::INT AS distance, n::BIGINT AS n FROM t JOIN vocab ON abs(length(word) - length(token)) <= 2 AND levenshtein(token, regexp_replace(word, '[^\x00-\x7F]', '?', 'g')) <= 2 AND length(word) <= 7 AND length(token) <= 7")
+@query(f"{_VOCAB}, t(token) AS (VALUES {_ASKED}) SELECT token, word, levenshtein(token, regexp_replace(word, '[^\x00-\x7F]', '?', 'g'))::INT AS distance, n::BIGINT AS n FROM t JOIN vocab ON abs(length(word) - length(token)) <= 2 AND levenshtein(token, regexp_replace(word, '[^\x00-\x7F]', '?', 'g')) <= 2")
 def spell_candidates(spark, sf):
     """V2"""
     asked = spark.createDataFrame([(x.strip(" ()'"),) for x in _ASKED.split(",")], "token string")
-    vocab = spelling.vocabulary(spelling.counts(tables.corpus(spark, sf))).where("length(word) <= 7")
+    vocab = spelling.vocabulary(spelling.counts(tables.corpus(spark, sf)))
     return spelling.candidates(asked, stored(vocab, "vocab"))
 
 
@@ -585,10 +585,10 @@ def frontier_next(spark, sf):
     return frontier.next_items(f, frontier.saturated_hosts(f, 20), 20).select("url", "priority")
 
 
-@query(f"WITH {_FRONTIER} SELECT url, CASE WHEN status = 'error' AND attempts < 3 AND (retryable OR error LIKE '%timed out%') THEN 'queued' ELSE status END AS status FROM f")
+@query(f"WITH {_FRONTIER} SELECT url, CASE WHEN status = 'error' AND attempts < 3 AND (retryable OR error ILIKE '%timed out%' OR error ILIKE '%unexpected keyword argument%canonical_url%' OR error ILIKE '%NoneType%object has no attribute%get%') THEN 'queued' ELSE status END AS status, CASE WHEN status = 'error' AND NOT (attempts < 3 AND (retryable OR error ILIKE '%timed out%')) THEN error END AS error FROM f")
 def frontier_requeue(spark, sf):
     """K7, C4"""
-    return frontier.requeue(tables.frontier(spark, sf)).select("url", "status")
+    return frontier.requeue(tables.frontier(spark, sf)).select("url", "status", "error")
 
 
 @query(f"WITH {_FRONTIER} SELECT s.status, count(f.url)::BIGINT AS n FROM (VALUES ('queued'), ('visited'), ('error'), ('skipped')) s(status) LEFT JOIN f ON f.status = s.status GROUP BY 1")

@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from findery.functions import language, text, web
-from findery.operators import duplicates, evaluation, links, ranking, results
+from findery.operators import duplicates, evaluation, frontier, index, links, ranking, results
+from findery.plans import retrieve
 from findery.sources import files, html
 
 SPELLINGS = {"tübingen": "tubingen", "tuebingen": "tubingen"}
@@ -127,6 +128,74 @@ def test_greedy_choice_keeps_the_best_of_variants(spark):
     assert [r.doc_id for r in got.collect()] == [0]
 
 
+def test_choice_equals_its_definition(spark):
+    """The greedy choice against one that looks at every page again for each pick."""
+    import random
+
+    rng = random.Random(7)
+    rows = []
+    for i in range(90):
+        k = rng.randrange(12)
+        name = ("castle", "river", "forest", "harbour", "museum", "market", "bridge", "garden", "tower", "square", "chapel", "school")[k]
+        title = f"{name} guide {name}land {'extra' if rng.random() < 0.2 else ''}"
+        body = " ".join(f"{name}{'abcdefghijklmnopqrst'[j]}" for j in range(20)) + (f" {name}other" if rng.random() < 0.5 else "") + (f" {name}more and others besides" if rng.random() < 0.2 else "")
+        url = f"https://{'ab'[k % 2]}.de/{'pq'[k % 3 == 0]}/{i if rng.random() < 0.7 else k}"
+        rows.append((i, f"q{i % 2}", url, title, body, round(rng.random(), 2), f"f{rng.randrange(60)}" if rng.random() < 0.8 else "", f"t{k % 4}", f"d{k % 5}"))
+    df = spark.createDataFrame(rows, "doc_id long, qid string, url string, title string, text string, score double, content_fingerprint string, topic string, domain string")
+    signed = duplicates.signature(df.withColumns({"canonical_url": F.col("url"), "description": F.lit("")})).cache()
+    a, b = (signed.select("qid", F.col("doc_id").alias(f"{x}_id"), F.struct(*duplicates.SIGNATURE).alias(x)) for x in "ab")
+    near = {(r.a_id, r.b_id) for r in a.join(b, "qid").where(duplicates.are_near("a", "b")).select("a_id", "b_id").collect()}
+    assert {(r.left_id, r.right_id) for r in duplicates.near_pairs(signed, ("qid",)).collect()} == {p for p in near if p[0] < p[1]}
+    for q in ("q0", "q1"):
+        order = sorted((r for r in rows if r[1] == q), key=lambda r: (-r[5], r[0]))
+        kept = []
+        for r in order:
+            if not any((r[0], x[0]) in near or r[6] and r[6] == x[6] for x in kept):
+                kept.append(r)
+        assert 5 < len(kept) < len(order)
+        got = duplicates.select_results(signed.where(F.col("qid") == q), 100, diversify=False).orderBy("rank").collect()
+        assert [r.doc_id for r in got] == [r[0] for r in kept]
+        picks = []
+        while len(picks) < min(20, len(kept)):
+            had = [r for r in kept if r[0] in {p for p, _ in picks}]
+            gain = lambda r: r[5] - min(0.12, 0.028 * sum(h[8] == r[8] for h in had)) + 0.012 * all(h[8] != r[8] for h in had) + 0.008 * all(h[7] != r[7] for h in had)  # noqa: E731, B023
+            best = max((r for r in kept if r not in had), key=lambda r: (gain(r), -r[0]))
+            picks.append((best[0], pytest.approx(gain(best))))
+        got = duplicates.select_results(signed.where(F.col("qid") == q), 20).orderBy("rank").collect()
+        assert [(r.doc_id, r.adjusted) for r in got] == picks
+
+
+def test_requeue(spark):
+    rows = [("a", "error", 1, "Read Timed Out", False), ("b", "error", 1, "404", False), ("c", "error", 1, "404", True), ("d", "error", 3, "x", True), ("e", "visited", 0, None, True),
+            ("f", "error", 0, "got an unexpected keyword argument 'canonical_url'", False), ("g", "error", 0, "'NoneType' object has no attribute 'get'", None), ("h", "error", 0, None, None)]
+    df = spark.createDataFrame(rows, "url string, status string, attempts int, error string, retryable boolean")
+    got = {r.url: (r.status, r.error) for r in frontier.requeue(df).collect()}
+    assert {u for u, (s, _) in got.items() if s == "queued"} == {"a", "c", "f", "g"}
+    assert all(e is None for s, e in got.values() if s == "queued") and got["b"] == ("error", "404") and got["d"] == ("error", "x")
+
+
+def test_batch_file_and_run_files(spark, tmp_path):
+    """A query file is answered and written; the lines are read again as a run and evaluated."""
+    docs = [(i, f"https://a{i}.de/p", f"castle page {i}", f"castle tour number {i} with words " * (i + 1)) for i in range(5)]
+    built = index.Index.build(spark.createDataFrame(docs, "doc_id long, url string, title string, text string"))
+    built.save(f"file://{tmp_path}/index")
+    path = tmp_path / "q.txt"
+    path.write_text("1\tcastle tour\n2   the of\n", encoding="utf-8")
+    found = retrieve.run_batch_file(spark, index.Index.load(spark, f"file://{tmp_path}/index"), f"file://{path}", f"file://{tmp_path}/out", 3)
+    want = [(r.qid, r["rank"], r.url) for r in found.orderBy("rank").collect()]
+    assert len(want) == 3 and {q for q, _, _ in want} == {"1"}
+    run = files.read_run(spark, f"file://{tmp_path}/out")
+    assert sorted((r.qid, r["rank"], r.url) for r in run.collect()) == want
+    judged = tmp_path / "qrels.txt"
+    judged.write_text("".join(f"1\t{u}\t1.0\n" for _, _, u in want), encoding="utf-8")
+    got = {r.cutoff: r.ndcg for r in evaluation.evaluate(run, files.read_qrels(spark, f"file://{judged}")).collect()}
+    assert got[5] == pytest.approx(1.0)
+    best = retrieve.lucky(built, spark.createDataFrame([("x", "castle tour")], "qid string, query string")).first()
+    assert best.url == want[0][2]
+    said = retrieve.analyse(spark.createDataFrame([("x", "castle tour")], "qid string, query string")).first()
+    assert said.terms == ["castle", "tour"] and said.intents[0].intent == "culture_history"
+
+
 def test_why_text(spark):
     words = F.array(F.lit("castle"))
     said = one(spark, results.why(words, words, F.lit("general"), F.lit(0.5), F.lit(0.1), F.lit(0.1)))
