@@ -123,11 +123,13 @@ def pieces(offsets: np.ndarray, limit: int):
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads them (splitmix64's finaliser)."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    moved = np.empty_like(x)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        np.right_shift(x, np.uint64(shift), out=moved)
+        x ^= moved
+        x *= np.uint64(factor)
+    np.right_shift(x, np.uint64(31), out=moved)
+    x ^= moved
     return x
 
 

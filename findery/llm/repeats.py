@@ -3,7 +3,7 @@
 A byte goes if it lies in a string of ``length`` (50) bytes that also starts in a document with a smaller
 id. Texts are dealt into blocks; every step reads a block and exchanges packed, sorted hashes with buckets.
 
-1. *Parse.* A rolling hash over ``length - 1`` bytes triggers about every ``PERIOD`` bytes; a phrase runs from
+1. *Parse.* A rolling hash over the first bytes of strings of ``length - 1`` bytes triggers about every ``PERIOD`` bytes; a phrase runs from
    one trigger to the end of the next one's string, so phrases are prefix-free and overlap by length - 1 bytes,
    and every window lies in exactly one phrase. Blocks send the phrases' hashes with their smallest document,
    buckets answer with smaller documents elsewhere: a phrase in any later document is wholly a repeat, whatever
@@ -43,7 +43,7 @@ KMER = 32
 PERIOD_BITS = 6
 BLOCK_BYTES = 8 << 20
 BLOCKS_A_BUCKET = 4
-CHUNK_BYTES = 1 << 17  # of text: its arrays of words stay in a core's cache
+CHUNK_BYTES = 1 << 15  # of text: its arrays of words stay in a core's cache
 ANCHORS, PHRASES, WINDOWS = 0, 1, 2
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SIGN = np.uint64(1 << 63)
@@ -53,6 +53,8 @@ _SIGN = np.uint64(1 << 63)
 Keys = tuple[np.ndarray, np.ndarray]
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Of the places in a phrase; the other hash tells places apart that lie so far from each other that they share a number.
+_PLACES = np.random.default_rng(6).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def pack(keys: Keys, doc: np.ndarray) -> bytes:
@@ -92,33 +94,33 @@ class Chunk:
         self.length, self.size, n = length, len(data), len(data)
         self.spans = Spans(data)
         count = max(n - length + 1, 0)
-        of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        end = offsets[1:][of] if n else np.zeros(0, np.int64)
+        sizes = np.diff(offsets)
+        self.of, self.doc = np.repeat(np.arange(len(sizes)), sizes)[:count], doc
         at = np.arange(count)
-        self.valid = at + length <= end[:count]  # windows that cross no text's end
-        self.of, self.doc = of[:count], doc
+        self.valid = at <= np.repeat(offsets[1:] - length, sizes)[:count]  # windows that cross no text's end
         if not count:
             self.phrase_start = self.phrase = np.zeros(0, np.int64)
             self.phrases, self.phrase_doc = none(), np.zeros(0, np.uint64)
             return
-        # triggers: starts of (length - 1)-byte strings, and the first window of each text
-        inner = self.spans.of(length - 1)[:count]
+        # triggers: starts of (length - 1)-byte strings whose first bytes hash so, and the first window of each text
+        inner = self.spans.of(min(KMER, length - 1))[:count]
         first = np.zeros(count, bool)
         first[offsets[:-1][offsets[:-1] < count]] = True
         self.phrase_start = np.flatnonzero(self.valid & (first | (inner >> np.uint64(64 - PERIOD_BITS) == 0)))
-        self.phrase = np.cumsum(np.bincount(self.phrase_start, minlength=count)) - 1  # of each window
+        starts, lasts = self.phrase_start, np.append(self.phrase_start[1:], count)
+        self.phrase = np.repeat(np.arange(len(starts)), lasts - starts)  # of each window: a text's first one starts one
+        self.phrase = np.append(np.zeros(count - len(self.phrase), np.int64), self.phrase)
         self.windows = self.spans.of(length)
-        self.phrase_doc = doc[of[self.phrase_start]]
+        self.phrase_doc = doc[self.of[self.phrase_start]]
         self.phrases = none()
         if len(self.phrase_start):
-            place = at - self.phrase_start[np.maximum(self.phrase, 0)]
-            # of its windows with their places: all of its bytes in their order
-            each = mix64(self.windows + place.astype(np.uint64) * _GOLD)
-            each[~self.valid] = 0
+            place = at - self.phrase_start[self.phrase]
+            # its windows times random numbers of their places: all of its bytes in their order
+            each = self.windows * _PLACES[place & (len(_PLACES) - 1)]
+            each *= self.valid
             total = mix64(np.add.reduceat(each, self.phrase_start))
             # and of every eighth window's bytes, and the last one's, by another hash
-            some = self.valid & ((place & 7 == 0) | ~np.append(self.valid[1:], False))
-            some = np.flatnonzero(some)
+            some = np.flatnonzero(self.valid & ((place & 7 == 0) | ~np.append(self.valid[1:], False)))
             other = np.zeros(count, np.uint64)
             other[some] = mix64(self.bytes_of(some) + place[some].astype(np.uint64) * _GOLD)
             self.phrases = total, (np.add.reduceat(other, self.phrase_start) >> np.uint64(48)).astype(np.uint16)
