@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, materialise, mix64, pieces, string_bytes
+from .common import UPPER, WORD, discard, free_name, materialise, mix64, pieces, string_bytes
 from .components import components
 from .hashing import grams, tokens
 
@@ -234,6 +234,20 @@ def op7(docs: DataFrame) -> DataFrame:
     return link(docs.select("doc_id", "text"), width=4)
 
 
+#: What ``op7`` returns, in DuckDB SQL: all pairs of texts that share a shingle, on their shingles themselves.
+OP7_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{WORD}') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM w),
+c AS (SELECT g, min(doc_id) AS rep, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+x AS (SELECT rep, n, unnest(g) AS e FROM c),
+p AS (SELECT a.rep AS u, b.rep AS v FROM x a JOIN x b ON a.e = b.e AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+b AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+r(node, root) AS (SELECT rep, rep FROM c UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.node),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(root, doc_id)::BIGINT AS component_id, doc_id = coalesce(root, doc_id) AS kept
+FROM s LEFT JOIN c ON c.g = s.g LEFT JOIN m ON m.node = c.rep"""
+
+
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest doc_id (null comes last).
 

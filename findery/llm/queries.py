@@ -68,4 +68,9 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": lines.OP2_SQL}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": lines.OP2_SQL,
+    "op6_suffix_dedup": repeats.OP6_SQL,
+    "op7_minhash_dedup": neardup.OP7_SQL,
+    "op9_quality_rules": rules.OP9_SQL,
+}

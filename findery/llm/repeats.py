@@ -383,3 +383,18 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
 def op6(docs: DataFrame) -> DataFrame:
     out = remove(docs)
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: What ``op6`` returns, in DuckDB SQL: every 50-byte string with the smallest doc_id that it starts in, as 100 hex digits.
+OP6_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id > first),
+edge AS (SELECT *, (i > lag(i, 1, -51) OVER (PARTITION BY doc_id ORDER BY i) + 50)::INT AS fresh FROM hit),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edge),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM run GROUP BY doc_id, run),
+gap AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since FROM span),
+kept AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans, max(z) AS last,
+  string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS k FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE k || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, materialise, text_or_empty, words_of
+from .common import SPACE_CHARS, WORD, materialise, text_or_empty, words_of
 
 GAMMA = 1.02
 PRIOR = 200
@@ -138,3 +138,37 @@ def op9(docs: DataFrame) -> DataFrame:
     return judge(counts).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+def _quartiles_sql(name: str, keys: str) -> str:
+    ranked = f"(SELECT {keys}metric, bin, sum(n) AS n FROM b GROUP BY ALL)"
+    at = lambda q: f"min(CASE WHEN cum >= total * {q} THEN 2 * pow({GAMMA}::DOUBLE, bin) / {GAMMA + 1} - {OFFSET} END)"
+    return (
+        f"{name} AS (SELECT {keys}metric, max(total) AS total, {at(0.25)} AS q1, {at(0.75)} AS q3 FROM (SELECT *, sum(n) OVER (PARTITION BY {keys}metric ORDER BY bin) AS cum,"
+        f" sum(n) OVER (PARTITION BY {keys}metric) AS total FROM {ranked}) GROUP BY ALL)"
+    )
+
+
+def _drawn_sql(q: str) -> str:
+    by_lang = f"(l.total * l.{q} + {PRIOR} * e.{q}) / (l.total + {PRIOR})"
+    return f"(o.total * o.{q} + {PRIOR} * {by_lang}) / (o.total + {PRIOR}) AS {q}"
+
+
+#: What ``op9`` returns, in DuckDB SQL.
+OP9_SQL = f"""WITH t AS (SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM t),
+g AS (SELECT row, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT row, s FROM g GROUP BY row, s HAVING count(*) > 1),
+rep AS (SELECT row, count(DISTINCT place) AS n FROM (SELECT row, i + unnest([0, 1, 2]) AS place FROM g JOIN twice USING (row, s)) GROUP BY row),
+c AS (SELECT row, doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
+  (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+  len(lines) AS n_lines FROM w LEFT JOIN rep USING (row)),
+v AS (SELECT row, lang, source, unnest({list(METRICS)}) AS metric, unnest({list(METRICS.values())}::DOUBLE[]) AS least,
+  unnest([word_chars / greatest(n_words, 1)::DOUBLE, n_symbols / greatest(n_words, 1)::DOUBLE, n_dup_lines / greatest(n_lines, 1)::DOUBLE, n_repeat_words / greatest(n_words, 1)::DOUBLE]) AS x FROM c),
+b AS (SELECT lang, source, metric, ceil(ln(x + {OFFSET}::DOUBLE) / ln({GAMMA}::DOUBLE)) AS bin, count(*) AS n FROM v GROUP BY ALL),
+{_quartiles_sql("own", "lang, source, ")}, {_quartiles_sql("bylang", "lang, ")}, {_quartiles_sql("everyone", "")},
+q AS (SELECT o.lang, o.source, o.metric, {_drawn_sql("q1")}, {_drawn_sql("q3")} FROM own o JOIN bylang l ON l.lang IS NOT DISTINCT FROM o.lang AND l.metric = o.metric JOIN everyone e ON e.metric = o.metric),
+bad AS (SELECT row FROM v JOIN q ON q.metric = v.metric AND q.lang IS NOT DISTINCT FROM v.lang AND q.source IS NOT DISTINCT FROM v.source
+  WHERE x < q1 - {K} * greatest(q3 - q1, least) OR x > q3 + {K} * greatest(q3 - q1, least)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND row NOT IN (SELECT row FROM bad) AS kept FROM f"""

@@ -110,10 +110,12 @@ def test_runs_find_new_lines_and_are_merged(spark):
     assert sorted(r.known for r in again) == [False, True]
 
 
-def test_line_dedup_equals_sql(spark, data_dir, duck):
-    got = queries.op2_line_dedup(spark, data_dir).collect()
-    want = duck.execute(queries.ORACLES["op2_line_dedup"]).fetchall()
-    assert sorted(tuple(r) for r in got) == sorted(want)
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, data_dir, duck, name):
+    got = queries.QUERIES[name](spark, data_dir)
+    done = duck.execute(queries.ORACLES[name])
+    assert got.columns == [d[0] for d in done.description]
+    assert sorted(map(tuple, got.collect())) == sorted(done.fetchall())
 
 
 def test_sharding_counts_slots_and_sizes(spark):
