@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import language, text, web
 
 FIELDS = ("title", "body", "url")
+LENGTHS = tuple(f"{f}_token_count" for f in FIELDS)
 #: Columns of a document and what stands for a missing one.
 DEFAULTS: dict[str, tuple[str, object]] = {
     "doc_id": ("long", None), "url": ("string", ""), "canonical_url": ("string", ""), "title": ("string", ""), "description": ("string", ""),
@@ -48,16 +49,20 @@ def documents(docs: DataFrame, spellings: dict[str, str] | None = None, intents:
 
 
 def postings(docs: DataFrame, spellings: dict[str, str] | None = None) -> DataFrame:
-    """term, doc_id, and the term's frequency in title, body, url and all: one shuffle by (term, doc_id)."""
+    """term, doc_id, and the term's frequency in title, body, url and all: one shuffle by (term, doc_id).
+
+    Field lengths that ``docs`` has go along, so that ranking needs no join with the documents.
+    """
+    known = [c for c in LENGTHS if c in docs.columns]
 
     def tagged_tokens(field: str, column: str) -> Column:
         tokens = text.tokenize(F.coalesce(F.col(column), F.lit("")), spellings)
         return F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(field).alias("field")))
 
     tagged = F.concat(*[tagged_tokens(f, c) for f, c in zip(FIELDS, ("title", "text", "url"), strict=True)])
-    rows = docs.select("doc_id", F.explode(tagged).alias("x")).select("doc_id", "x.term", "x.field")
+    rows = docs.select("doc_id", *known, F.explode(tagged).alias("x")).select("doc_id", *known, "x.term", "x.field")
     by_field = [F.count(F.when(F.col("field") == f, 1)).cast("int").alias(f"{f}_frequency") for f in FIELDS]
-    return rows.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("term_frequency"), *by_field)
+    return rows.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("term_frequency"), *by_field, *[F.max(c).alias(c) for c in known])
 
 
 def terms(post: DataFrame) -> DataFrame:
@@ -79,6 +84,11 @@ class Index:
     terms: DataFrame
     links: DataFrame | None = None
     spellings: dict[str, str] | None = None
+    stats: DataFrame | None = None
+
+    def collection(self) -> DataFrame:
+        """The stored row of collection statistics, or a new one."""
+        return self.stats if self.stats is not None else collection_stats(self.documents)
 
     @classmethod
     def build(cls, docs: DataFrame, spellings: dict[str, str] | None = None, links: DataFrame | None = None, intents: Sequence = language.CITY_GUIDE) -> Index:
@@ -88,17 +98,18 @@ class Index:
 
     def save(self, path: str) -> None:
         """Postings are range-partitioned and sorted by term, so that a literal term list skips row groups."""
-        self.documents.write.mode("overwrite").parquet(f"{path}/documents")
+        self.documents.sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/documents")
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         spark = self.documents.sparkSession
         terms(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
+        collection_stats(spark.read.parquet(f"{path}/documents")).write.mode("overwrite").parquet(f"{path}/stats")
         if self.links is not None:
             self.links.write.mode("overwrite").parquet(f"{path}/links")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, spellings: dict[str, str] | None = None, links: bool = False) -> Index:
         read = lambda t: spark.read.option("mergeSchema", True).parquet(f"{path}/{t}")
-        return cls(read("documents"), read("postings"), read("terms"), read("links") if links else None, spellings)
+        return cls(read("documents"), read("postings"), read("terms"), read("links") if links else None, spellings, read("stats"))
 
     def register(self, prefix: str = "") -> None:
         """The tables as temporary views, for SQL."""

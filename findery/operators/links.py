@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +22,14 @@ def resolve(docs: DataFrame, links: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, pagerank: a fixed number of rounds; the mass of nodes without links goes to all. Ranks sum to 1.
 
-    Edges are dealt by source once and stored; a round is one join and one partial aggregation by target. The
-    dangling mass stays in the plan (one row), and every few rounds the ranks go to the shared folder.
+    Edges are dealt by source once and kept so (a lost part is dealt again from the stored table); a round shuffles the ranks and
+    the shares by target, summed before. The dangling mass stays in the plan (one row), and every few rounds the ranks go to the
+    shared folder.
     """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = nodes.select("doc_id").distinct()
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    out = stored(edges.join(degree, "src").repartition("src"), "edges")
+    out = stored(edges.join(degree, "src"), "edges").repartition(parts, "src").persist(StorageLevel.DISK_ONLY)
     nodes = stored(nodes.join(degree.withColumnRenamed("src", "doc_id"), "doc_id", "left").select("doc_id", F.col("degree").isNull().alias("dangling")).withColumn("n", F.lit(0)), "nodes")
     n = nodes.count()
     if not n:
@@ -38,8 +41,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, itera
         after = nodes.join(given, "doc_id", "left").crossJoin(F.broadcast(loose))  # one row
         r = (1 - damping) / n + damping * F.col("loose") / n + damping * F.coalesce("got", F.lit(0.0))
         ranks = after.select("doc_id", "dangling", r.alias("r"))
-        if i % CUT_EVERY == 0 and i < iterations:
+        if i % CUT_EVERY == 0 or i == iterations:
             ranks = stored(ranks, "ranks")
+    out.unpersist()
     return ranks.select("doc_id", F.col("r").alias("pagerank"))
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import language, stopwords, text
-from ..scratch import broadcast_if_small
-from .index import FIELDS, Index, collection_stats
+from ..scratch import broadcast_if_small, one_of, stored
+from .index import FIELDS, LENGTHS, Index
+from .index import postings as postings_of
 
 K1 = 1.2
 WEIGHTS = {"title": 2.6, "body": 1.0, "url": 1.8}
@@ -47,11 +48,11 @@ def bm25f(index: Index, weights: DataFrame, limit: int | None = POOL) -> DataFra
     asked = [r[0] for r in weights.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
     post = index.postings
     if len(asked) <= PUSHED_TERMS:
-        post = post.where(F.col("term").isin(asked))  # reaches the scan; a join does not
-    stats = F.broadcast(collection_stats(index.documents))
-    lengths = index.documents.select("doc_id", *[f"{f}_token_count" for f in FIELDS])
+        post = post.where(one_of(F.col("term"), asked))  # reaches the scan; a join does not
+    if not set(LENGTHS) <= set(post.columns):
+        post = post.join(index.documents.select("doc_id", *LENGTHS), "doc_id")
     rows = post.join(broadcast_if_small(weights), "term").join(broadcast_if_small(index.terms.join(broadcast_if_small(weights.select("term").distinct()), "term", "left_semi")), "term")
-    rows = rows.join(lengths, "doc_id").crossJoin(stats)  # one row
+    rows = rows.crossJoin(F.broadcast(index.collection()))  # one row
     tf = F.lit(0.0)
     for f in FIELDS:
         norm = F.greatest(F.lit(0.05), (1 - B[f]) + B[f] * F.col(f"{f}_token_count") / F.col(f"avg_{f}"))
@@ -62,17 +63,29 @@ def bm25f(index: Index, weights: DataFrame, limit: int | None = POOL) -> DataFra
     return scores if limit is None else top(scores, limit)
 
 
+def fetched(index: Index, ids: DataFrame, *columns: str) -> DataFrame:
+    """doc_id and ``columns`` of some documents: by literal ids, where they are few, or by a join."""
+    ids = ids.select("doc_id").distinct()
+    some = [r[0] for r in ids.limit(PUSHED_TERMS + 1).collect()]
+    docs = index.documents.select("doc_id", *columns)
+    return docs.where(one_of(F.col("doc_id"), some)) if len(some) <= PUSHED_TERMS else docs.join(broadcast_if_small(ids), "doc_id", "left_semi")
+
+
 def feedback_terms(index: Index, queries: DataFrame, scores: DataFrame, docs: int = FEEDBACK_DOCS, limit: int = FEEDBACK_TERMS) -> DataFrame:
-    """qid, term, weight: pseudo-relevance feedback from the best documents, scaled to ``FEEDBACK_TOP``."""
+    """qid, term, weight: pseudo-relevance feedback from the best documents, scaled to ``FEEDBACK_TOP``.
+
+    Postings are sorted by term, so the few documents are read by id and their postings made anew.
+    """
     best = top(scores.select("qid", "doc_id", "score"), docs).select("qid", "doc_id", (1 / F.log(F.col("rank") + 2)).alias("rank_weight"))
+    best = stored(best, "feedback")
     own = queries.select("qid", F.explode(text.query_terms(F.col("query"), index.spellings)).alias("term")).distinct()
-    rows = index.postings.join(broadcast_if_small(best), "doc_id")
+    rows = postings_of(fetched(index, best, "title", "text", "url", *LENGTHS), index.spellings)
     rows = rows.where((F.length("term") >= 3) & ~F.col("term").rlike("^[0-9]+$") & ~text.in_words(F.col("term"), stopwords.ALL))
-    rows = rows.join(broadcast_if_small(own), ["qid", "term"], "left_anti")
-    n = F.broadcast(index.documents.agg(F.count("*").alias("n_docs")))
-    rows = rows.join(index.terms, "term").crossJoin(n).where(F.col("document_frequency") / F.col("n_docs") <= 0.40)
-    rows = rows.join(index.documents.select("doc_id", F.greatest("body_token_count", F.lit(1)).alias("size")), "doc_id")
-    part = F.col("body_frequency") / F.col("size") * idf(F.col("n_docs"), F.col("document_frequency")) * F.col("rank_weight")
+    rows = stored(rows, "feedback_postings")
+    known = index.terms.join(broadcast_if_small(rows.select("term").distinct()), "term", "left_semi")
+    rows = rows.join(broadcast_if_small(best), "doc_id").join(broadcast_if_small(own), ["qid", "term"], "left_anti")
+    rows = rows.join(broadcast_if_small(known), "term").crossJoin(F.broadcast(index.collection().select("n_docs"))).where(F.col("document_frequency") / F.col("n_docs") <= 0.40)
+    part = F.col("body_frequency") / F.greatest("body_token_count", F.lit(1)) * idf(F.col("n_docs"), F.col("document_frequency")) * F.col("rank_weight")
     got = top(rows.groupBy("qid", "term").agg(F.sum(part).alias("score")), limit, key="term")
     most = F.max("score").over(Window.partitionBy("qid"))
     return got.select("qid", "term", F.when(most > 0, FEEDBACK_TOP * F.col("score") / most).otherwise(0.0).alias("weight"))
@@ -122,12 +135,17 @@ def fuse(weights: dict[str, float]) -> Column:
 
 
 def signals(index: Index, queries: DataFrame, pool: DataFrame, intents: Sequence = language.CITY_GUIDE) -> DataFrame:
-    """``pool`` with metadata, intent and authority scores, and the documents' columns."""
+    """``pool`` with metadata, intent and authority scores, and the documents' columns.
+
+    The pool is what is broadcast (where it is small), so the texts are read once and not shuffled before they are few.
+    """
     asked = queries.select("qid", "query", text.query_terms(F.col("query"), index.spellings).alias("terms"))
     cols = ["doc_id", "canonical_url", "title", "description", "text", "topic", "content_fingerprint", "pagerank"]
-    rows = pool.join(broadcast_if_small(asked), "qid").join(index.documents.select(*cols), "doc_id")
+    pool = stored(pool.join(broadcast_if_small(asked), "qid"), "pool")
+    rows = index.documents.select(*cols).join(broadcast_if_small(pool), "doc_id")
     rows = rows.withColumn("metadata", metadata_signal(rows, index.spellings))
     rows = minmax(rows, "pagerank", "authority")
-    seen = rows.select("qid", "doc_id", text.tokenize(F.concat_ws(" ", "canonical_url", "title", F.substring("text", 1, 12_000)), index.spellings).alias("tokens"))
-    match = language.intent_match(seen, language.query_intents(queries, intents), intents)
-    return rows.join(match, ["qid", "doc_id"]).withColumnRenamed("intent_score", "intent")
+    names = rows.columns
+    seen = rows.withColumn("tokens", text.tokenize(F.concat_ws(" ", "canonical_url", "title", F.substring("text", 1, 12_000)), index.spellings))
+    match = language.intent_match(seen, language.query_intents(queries, intents), intents, names)
+    return match.withColumnRenamed("intent_score", "intent")

@@ -61,7 +61,19 @@ def text_digests(spark, sf):
     )
 
 
-@query()
+_SNIPPET = f"""WITH {o.corpus()},
+s AS (SELECT doc_id, body, string_split(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS sentences FROM corpus),
+h AS (SELECT doc_id, body, list_filter(sentences, lambda x: list_has_any({o.tokens('x')}, ['estion', 'ndtion']))[1] AS hit FROM s),
+a AS (SELECT doc_id, hit, trim(regexp_replace(coalesce(hit, body), '\\s+', ' ', 'g')) AS t, greatest(0, CASE WHEN hit IS NULL THEN 0 WHEN list_contains({o.tokens('hit')}, 'estion')
+  THEN strpos(lower(hit), 'estion') ELSE strpos(lower(hit), 'ndtion') END - 1) AS spot FROM h),
+b AS (SELECT *, length(t) AS n, greatest(0, spot - {text.SNIPPET_LENGTH} // 2) AS s0 FROM a),
+c AS (SELECT *, CASE WHEN s0 + {text.SNIPPET_LENGTH} > n THEN greatest(0, n - {text.SNIPPET_LENGTH}) ELSE s0 END AS st FROM b),
+d AS (SELECT *, least(st + {text.SNIPPET_LENGTH}, n) AS en, substr(t, st + 1, least(st + {text.SNIPPET_LENGTH}, n) - st) AS cut FROM c),
+e AS (SELECT *, CASE WHEN st > 0 THEN '...' || CASE WHEN contains(cut, ' ') THEN substr(cut, strpos(cut, ' ') + 1) ELSE cut END ELSE cut END AS l FROM d)
+SELECT doc_id, CASE WHEN n <= {text.SNIPPET_LENGTH} THEN t WHEN en < n THEN regexp_replace(l, ' [^ ]*$', '') || '...' ELSE l END AS snippet FROM e"""
+
+
+@query(_SNIPPET)
 def snippet_first_match(spark, sf):
     """X5, X6, X17"""
     terms = F.array(F.lit("estion"), F.lit("ndtion"))
@@ -189,18 +201,18 @@ def minmax_norm(spark, sf):
 
 _SIGNAL = f"""WITH {o.corpus()}, {o.queries()},
 d AS (SELECT doc_id, title, body, list_distinct({o.tokens('title')}) AS tt, list_distinct({o.tokens('url')}) AS tu, list_distinct({o.tokens('substr(body, 1, 15000)')}) AS tb FROM corpus),
-q AS (SELECT qid, query, list_distinct({o.kept(o.tokens('query'))}) AS want, {o.norm('query')} AS phrase FROM queries WHERE ord < 3)
-SELECT qid, doc_id, round(least(1.0, 0.35 * len(list_intersect(want, list_concat(list_concat(tt, tu), tb))) / len(want) + 0.30 * len(list_intersect(want, tt)) / len(want)
-  + 0.10 * len(list_intersect(want, tu)) / len(want) + 0.15 * contains({o.norm('title')}, phrase)::INT + 0.10 * contains({o.norm('substr(body, 1, 20000)')}, phrase)::INT), 6) AS metadata
+q AS (SELECT qid, query, list_distinct({o.kept(o.tokens('query'))}) AS want, {o.norm('query')} AS phrase FROM queries)
+SELECT qid, doc_id, round(CASE WHEN len(want) = 0 THEN 0.0 ELSE least(1.0, 0.35 * len(list_intersect(want, list_concat(list_concat(tt, tu), tb))) / len(want) + 0.30 * len(list_intersect(want, tt)) / len(want)
+  + 0.10 * len(list_intersect(want, tu)) / len(want) + 0.15 * contains({o.norm('title')}, phrase)::INT + 0.10 * contains({o.norm('substr(body, 1, 20000)')}, phrase)::INT) END, 6) AS metadata
 FROM d CROSS JOIN q"""
 
 
 @query(_SIGNAL)
 def metadata_signal(spark, sf):
     """X13, U3"""
-    q = tables.queries(spark).where("ord < 3").select("qid", "query", text.query_terms(F.col("query")).alias("terms"))
+    q = tables.queries(spark).select("qid", "query", text.query_terms(F.col("query")).alias("terms"))
     d = tables.corpus(spark, sf).withColumn("canonical_url", F.col("url"))
-    rows = d.crossJoin(F.broadcast(q))  # three fixed queries against all documents
+    rows = d.crossJoin(F.broadcast(q))  # five fixed queries against all documents
     return rows.select("qid", "doc_id", _r(ranking.metadata_signal(rows)).alias("metadata"))
 
 
@@ -212,13 +224,13 @@ _HITS = lambda key, most=None: (
 
 @query(
     f"WITH {o.corpus()}, t AS (SELECT doc_id, {o.tokens(chr(117) + 'rl || chr(32) || title || chr(32) || substr(body, 1, 12000)')} AS tk FROM corpus)"
-    f" SELECT 'q1' AS qid, doc_id, round(least(1.0, ({_HITS('a', 3)}) / 5.0), 6) AS intent_score FROM t UNION ALL SELECT 'q2', doc_id, round(least(1.0, ({_HITS('b', 3)}) / 5.0), 6) FROM t UNION ALL SELECT 'q3', doc_id, 0.5 FROM t"
+    f" SELECT 'q1' AS qid, doc_id, round(least(1.0, ({_HITS('a', 3)}) / 5.0), 6) AS intent_score FROM t UNION ALL SELECT 'q2', doc_id, round(least(1.0, ({_HITS('b', 3)}) / 5.0), 6) FROM t UNION ALL SELECT qid, doc_id, 0.5 FROM t, (VALUES ('q3'), ('q4'), ('q5')) other(qid)"
 )
 def intent_match(spark, sf):
     """L5"""
-    q = tables.queries(spark).where("ord < 3")
+    q = tables.queries(spark)
     d = tables.corpus(spark, sf).select("doc_id", text.tokenize(F.concat_ws(" ", "url", "title", F.substring("text", 1, 12_000))).alias("tokens"))
-    rows = d.crossJoin(F.broadcast(q.select("qid")))  # three fixed queries
+    rows = d.crossJoin(F.broadcast(q.select("qid")))  # five fixed queries
     return language.intent_match(rows, language.query_intents(q, LEX), LEX).withColumn("intent_score", _r("intent_score"))
 
 
@@ -331,7 +343,13 @@ def html_documents(spark, sf):
     return got.select("page_id", "canonical_url", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("digest"), F.size("links").alias("n_links"))
 
 
-@query()
+@query(
+    "WITH a AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+)://', 1) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) AS site, unnest(regexp_extract_all(html, '<a href=\"/[^\"]*\">[^<]*</a>')) AS tag,"
+    " generate_subscripts(regexp_extract_all(html, '<a href=\"/[^\"]*\">[^<]*</a>'), 1) AS place FROM pages),"
+    " t AS (SELECT page_id, url, place, site || regexp_extract(tag, 'href=\"([^\"]*)\"', 1) AS target, trim(regexp_extract(tag, '>([^<]*)<', 1)) AS anchor FROM a),"
+    " f AS (SELECT page_id, url, target, arg_min(anchor, place) AS anchor FROM t GROUP BY ALL)"
+    " SELECT url AS source_url, target AS target_url, max(anchor) AS anchor_text FROM f WHERE url <> target GROUP BY ALL"
+)
 def link_edges(spark, sf):
     """Recorded links of pages."""
     got = html.page_links(html.extract(tables.table(spark, sf, "pages")))
@@ -366,11 +384,14 @@ _SIGNED = f"""WITH {o.corpus(True)}, st AS (SELECT doc_id, language AS host, lis
 sh AS (SELECT doc_id, host, tt, list_distinct(CASE WHEN len(ct) >= 3 THEN list_transform(range(1, len(ct) - 1), lambda i: ct[i] || ' ' || ct[i + 1] || ' ' || ct[i + 2]) ELSE ct END) AS cs FROM st)"""
 
 
-@query(
-    f"{_SIGNED}, tw AS (SELECT doc_id, host, unnest(tt) AS w FROM sh), ti AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS i FROM tw a JOIN tw b ON a.host = b.host AND a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL),"
-    " tp AS (SELECT l, r FROM ti JOIN sh x ON x.doc_id = l JOIN sh y ON y.doc_id = r WHERE i / (len(x.tt) + len(y.tt) - i) >= 0.8)"
-    " SELECT l AS left_id, r AS right_id FROM tp JOIN sh x ON x.doc_id = l JOIN sh y ON y.doc_id = r WHERE len(x.cs) > 0 AND len(list_intersect(x.cs, y.cs)) / (len(x.cs) + len(y.cs) - len(list_intersect(x.cs, y.cs))) >= 0.82"
+_PAIRS = (
+    "tw AS (SELECT doc_id, host, unnest(tt) AS w FROM sh), ti AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS i FROM tw a JOIN tw b ON a.host = b.host AND a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL),"
+    " tp AS (SELECT l, r FROM ti JOIN sh x ON x.doc_id = l JOIN sh y ON y.doc_id = r WHERE i / (len(x.tt) + len(y.tt) - i) >= 0.8),"
+    " near AS (SELECT l, r FROM tp JOIN sh x ON x.doc_id = l JOIN sh y ON y.doc_id = r WHERE len(x.cs) > 0 AND len(list_intersect(x.cs, y.cs)) / (len(x.cs) + len(y.cs) - len(list_intersect(x.cs, y.cs))) >= 0.82)"
 )
+
+
+@query(f"{_SIGNED}, {_PAIRS} SELECT l AS left_id, r AS right_id FROM near")
 def near_dup_pairs(spark, sf):
     """J12, Y6, Y7, X7, X8, X11"""
     return duplicates.near_pairs(stored(duplicates.signature(tables.corpus(spark, sf, by_language=True)), "signed"))
@@ -404,13 +425,34 @@ def _scored(spark, sf):
     return stored(ranking.top(d, 1500), "scored")
 
 
-@query()
+_CHOSEN = (
+    f"{_SIGNED.replace('WITH', 'WITH RECURSIVE', 1)}, {_PAIRS}, sc AS (SELECT 'g' || (doc_id % 10) AS qid, doc_id, language AS domain, doc_id % 5 AS topic, 1.0::DOUBLE / (1 + doc_id % 97) AS score,"
+    " sha256(strip_accents(lower(title || chr(10) || body))) AS print FROM corpus),"
+    " pool AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS place FROM sc QUALIFY place <= 1500),"
+    " same AS (SELECT l AS a, r AS b FROM near UNION SELECT r, l FROM near UNION SELECT x.doc_id, y.doc_id FROM pool x JOIN pool y ON x.qid = y.qid AND x.print = y.print AND x.doc_id <> y.doc_id),"
+    " c AS (SELECT p.qid, p.place, p.doc_id, coalesce((SELECT list(b) FROM same WHERE a = p.doc_id), []) AS bad FROM pool p),"
+    " walk(qid, place, kept) AS (SELECT DISTINCT qid, 0::BIGINT, []::BIGINT[] FROM pool UNION ALL"
+    " SELECT c.qid, c.place, CASE WHEN list_has_any(walk.kept, c.bad) THEN walk.kept ELSE list_append(walk.kept, c.doc_id) END FROM walk JOIN c ON c.qid = walk.qid AND c.place = walk.place + 1),"
+    " stays AS (SELECT qid, unnest(arg_max(kept, place)) AS doc_id, generate_subscripts(arg_max(kept, place), 1) AS rank FROM walk GROUP BY qid)"
+)
+
+
+@query(f"{_CHOSEN} SELECT qid, doc_id, rank::INT AS rank FROM stays")
 def greedy_dedup(spark, sf):
     """R11, W6, U5"""
     return duplicates.select_results(_scored(spark, sf), 1500, diversify=False).select("qid", "doc_id", "rank")
 
 
-@query()
+@query(
+    f"{_CHOSEN}, s AS (SELECT qid, doc_id, domain, topic, score FROM pool JOIN stays USING (qid, doc_id)),"
+    " pick(qid, rank, ids, domains, topics, adjusted, penalty) AS (SELECT DISTINCT qid, 0, []::BIGINT[], []::VARCHAR[], []::BIGINT[], 0.0::DOUBLE, 0.0::DOUBLE FROM s UNION ALL SELECT qid, rank + 1, list_append(ids, b.doc_id), list_append(domains, b.domain),"
+    " list_append(topics, b.topic), b.adjusted, b.penalty FROM (SELECT v.qid, v.rank, any_value(v.ids) AS ids, any_value(v.domains) AS domains, any_value(v.topics) AS topics,"
+    " max({'adjusted': v.score - v.penalty + v.bonus, 'low': -v.doc_id, 'doc_id': v.doc_id, 'domain': v.domain, 'topic': v.topic, 'penalty': v.penalty}) AS b"
+    f" FROM (SELECT p.*, s.doc_id, s.domain, s.topic, s.score, least({duplicates.REPEAT_MOST}::DOUBLE, {duplicates.REPEAT_EACH}::DOUBLE * len(list_filter(p.domains, lambda x: x = s.domain))) AS penalty,"
+    f" CASE WHEN list_contains(p.domains, s.domain) THEN 0.0::DOUBLE ELSE {duplicates.NEW_DOMAIN}::DOUBLE END + CASE WHEN list_contains(p.topics, s.topic) THEN 0.0::DOUBLE ELSE {duplicates.NEW_TOPIC}::DOUBLE END AS bonus"
+    " FROM (SELECT qid, rank, ids, domains, topics FROM pick WHERE rank < 50) p JOIN s ON s.qid = p.qid AND NOT list_contains(p.ids, s.doc_id)) v GROUP BY v.qid, v.rank))"
+    " SELECT qid, ids[-1] AS doc_id, rank::INT AS rank, round(adjusted, 6) AS adjusted, penalty AS diversity_penalty FROM pick WHERE rank > 0"
+)
 def diversify(spark, sf):
     """R12, W6"""
     return duplicates.select_results(_scored(spark, sf), 50).withColumn("adjusted", _r("adjusted"))
@@ -460,10 +502,10 @@ def run_validate(spark, sf):
     return evaluation.validate(_results(spark, sf), 100)
 
 
-@query(f"{_TOP}, w AS (SELECT doc_id, list_distinct({o.tokens('title')}) AS tt FROM corpus) SELECT r.qid, r.doc_id, array_to_string(list_filter(list_distinct_in_order, lambda t: list_contains(tt, t)), ',') AS matched FROM res r JOIN w USING (doc_id) JOIN (SELECT qid, {o.kept(o.tokens('query'))} AS list_distinct_in_order FROM queries WHERE qid IN ('q1', 'q2')) q USING (qid)")
+@query(f"{_TOP}, w AS (SELECT doc_id, list_distinct({o.tokens('title')}) AS tt FROM corpus) SELECT r.qid, r.doc_id, array_to_string(list_filter(list_distinct_in_order, lambda t: list_contains(tt, t)), ',') AS matched FROM res r JOIN w USING (doc_id) JOIN (SELECT qid, {o.kept(o.tokens('query'))} AS list_distinct_in_order FROM queries) q USING (qid)")
 def matched_terms(spark, sf):
     """X15, X16"""
-    q = tables.queries(spark).where("qid in ('q1', 'q2')").select("qid", text.query_terms(F.col("query")).alias("terms"))
+    q = tables.queries(spark).select("qid", text.query_terms(F.col("query")).alias("terms"))
     rows = _results(spark, sf).select("qid", "doc_id").join(F.broadcast(q), "qid").join(tables.corpus_index(spark, sf).documents.select("doc_id", "title"), "doc_id")
     return rows.select("qid", "doc_id", F.array_join(results.matched_terms(F.col("terms"), F.col("title")), ",").alias("matched"))
 

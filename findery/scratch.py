@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
+#: Parquet readers take at most this many values of one IN list as they are; of more they take the range alone.
+IN_LIST = 10
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +34,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint where the table has at most ``rows`` rows; as it is (a shuffled join) beyond."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint where the table has at most ``rows`` rows and ``size`` bytes; as it is (a shuffled join) beyond."""
+    wide = [f.name for f in df.schema if not isinstance(f.dataType, NumericType | BooleanType)]
+    width = F.lit(8 * len(df.columns)) + (F.coalesce(F.octet_length(F.to_json(F.struct(*wide))), F.lit(0)) if wide else F.lit(0))
+    n, held = df.select(width.alias("w")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
+
+
+def one_of(c: Column, values: Sequence) -> Column:
+    """``c`` in a list, put so that a scan of sorted Parquet skips what holds none of the values, however many they are."""
+    values = sorted(values)
+    parts = [c.isin(values[i : i + IN_LIST]) for i in range(0, len(values), IN_LIST)]
+    while len(parts) > 1:  # a balanced tree
+        parts = [a | b for a, b in zip(parts[::2], parts[1::2], strict=False)] + parts[len(parts) & ~1 :]
+    return c.isin(values) & parts[0] if parts else F.lit(False)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.language import Intent
-from ..operators.index import Index
+from ..operators.index import Index, collection_stats, postings, terms
 from ..scratch import stored
 
 QUERIES = (("q1", "estion ndtion"), ("q2", "ersch enlich"), ("q3", "src3 inging inging"), ("q4", "the of and"), ("q5", "zzzzunknown"))
@@ -47,10 +47,9 @@ def corpus_index(spark: SparkSession, sf_dir: str) -> Index:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
         built = Index.build(corpus(spark, sf_dir), intents=LEXICON)
-        docs, post = stored(built.documents, "documents"), stored(built.postings.sortWithinPartitions("term"), "postings")
-        from ..operators.index import terms
-
-        _indexes[key] = Index(docs, post, stored(terms(post), "terms"))
+        docs = stored(built.documents.sortWithinPartitions("doc_id"), "documents")
+        post = stored(postings(docs).repartitionByRange("term").sortWithinPartitions("term"), "postings")
+        _indexes[key] = Index(docs, post, stored(terms(post), "terms"), stats=stored(collection_stats(docs), "stats"))
     return _indexes[key]
 
 
