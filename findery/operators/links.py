@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import stored
 
-DAMPING, ITERATIONS, CUT_EVERY = 0.85, 25, 5
+DAMPING, ITERATIONS, CUT_EVERY = 0.85, 25, 2
 
 
 def resolve(docs: DataFrame, links: DataFrame) -> DataFrame:
@@ -22,15 +22,16 @@ def resolve(docs: DataFrame, links: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, pagerank: a fixed number of rounds; the mass of nodes without links goes to all. Ranks sum to 1.
 
-    Edges are dealt by source once and kept so (a lost part is dealt again from the stored table); a round shuffles the ranks and
-    the shares by target, summed before. The dangling mass stays in the plan (one row), and every few rounds the ranks go to the
-    shared folder.
+    Edges and nodes are dealt by source once and kept so (a lost part is dealt again from the stored table); a round shuffles
+    the shares by target alone, summed before. The dangling mass stays in the plan (one row), and every second round the ranks go to
+    the shared folder.
     """
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = nodes.select("doc_id").distinct()
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
     out = stored(edges.join(degree, "src"), "edges").repartition(parts, "src").persist(StorageLevel.DISK_ONLY)
-    nodes = stored(nodes.join(degree.withColumnRenamed("src", "doc_id"), "doc_id", "left").select("doc_id", F.col("degree").isNull().alias("dangling")).withColumn("n", F.lit(0)), "nodes")
+    nodes = stored(nodes.join(degree.withColumnRenamed("src", "doc_id"), "doc_id", "left").select("doc_id", F.col("degree").isNull().alias("dangling")), "nodes")
+    nodes = nodes.repartition(parts, "doc_id").persist(StorageLevel.DISK_ONLY)
     n = nodes.count()
     if not n:
         return nodes.select("doc_id", F.lit(0.0).alias("pagerank"))
@@ -44,6 +45,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, itera
         if i % CUT_EVERY == 0 or i == iterations:
             ranks = stored(ranks, "ranks")
     out.unpersist()
+    nodes.unpersist()
     return ranks.select("doc_id", F.col("r").alias("pagerank"))
 
 
