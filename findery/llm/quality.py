@@ -18,12 +18,14 @@ every score is the share of label 1 (0.5 with no label at all); an empty table g
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, is_space_table, materialise, pieces, string_bytes
+from .common import free_name, is_space_table, materialise, pieces, planes, string_bytes, words
 from .hashing import strings
 
 BUCKET_BITS = 17
@@ -95,8 +97,19 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.n
     return list(zip(np.split((keys % BUCKETS).astype(np.int32), cuts), np.split(times.astype(np.float32), cuts), strict=True))
 
 
-def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> tuple[np.ndarray, float]:
-    """One number a bucket and a bias: the log odds of label 1 of the trained network."""
+def packed(buckets: np.ndarray, times: np.ndarray) -> bytes:
+    """A document's counts, small enough for the driver to hold all of the sample: steps between buckets, then times."""
+    return zlib.compress(planes(np.concatenate([np.diff(buckets, prepend=np.int32(0)), times.astype(np.int64)]).astype(np.int64), 4), 1)
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = words(zlib.decompress(raw), 4)
+    steps, times = both[: len(both) // 2], both[len(both) // 2 :]
+    return np.cumsum(steps).astype(np.int32), times.astype(np.float32)
+
+
+def train(docs: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> tuple[np.ndarray, float]:
+    """One number a bucket and a bias: the log odds of label 1 of the trained network. ``docs`` are ``packed``."""
     y = np.asarray(labels, np.int64)
     if len(set(labels)) < 2:
         return np.zeros(BUCKETS, np.float32), 0.0 if not labels else (20.0 if y[0] else -20.0)
@@ -107,7 +120,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs:
     steps, step = epochs * len(docs), 0
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
-            idx, times = docs[i]
+            idx, times = unpacked(docs[i])
             share = times / times.sum()
             v = vectors[idx]
             mean = share @ v
@@ -142,8 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int = MAX_
             for a, b in pieces(offsets, CHUNK_BYTES):
                 rows += counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([x.tobytes() for x, _ in rows], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in rows], pa.binary())],
-                names=["doc_id", "label", "buckets", "times"],
+                [batch.column(0), batch.column(2), pa.array([packed(x, n) for x, n in rows], pa.binary())], names=["doc_id", "label", "counts"]
             )
 
     rows = training_rows(docs, labels, usable, max_docs)
@@ -153,11 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int = MAX_
     few = sizes.withColumn("before", before).where(F.col("before") < MAX_TRAIN_BYTES).select("doc_id")
     rows = rows.join(F.broadcast(few), "doc_id", "left_semi")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.select("doc_id", "text", "label").mapInArrow(featurise, f"doc_id {kind}, label int, buckets binary, times binary").collect()
+    got = rows.select("doc_id", "text", "label").mapInArrow(featurise, f"doc_id {kind}, label int, counts binary").collect()
     got.sort(key=lambda r: r[0])
-    return train(
-        [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32).astype(np.float32)) for r in got], [r[1] for r in got]
-    )
+    return train([bytes(r[2]) for r in got], [r[1] for r in got])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

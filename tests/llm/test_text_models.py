@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -228,6 +229,12 @@ def brute_features(text):
     return Counter([*out, "end"])
 
 
+def test_classifier_counts_pack_and_return():
+    for buckets, times in (([0], [1]), ([5, 6, quality.BUCKETS - 1], [1, 70_000, 255]), ([], [])):
+        idx, n = quality.unpacked(quality.packed(np.array(buckets, np.int32), np.array(times, np.float32)))
+        assert (idx.tolist(), n.tolist()) == (buckets, times) and idx.dtype == np.int32 and n.dtype == np.float32
+
+
 def test_classifier_features_are_those_of_the_text():
     import numpy as np
 
