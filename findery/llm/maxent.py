@@ -16,9 +16,9 @@ many new pairs as the corpus has pairs seen once.
    vocabulary's training counts, and each text as indices into it. Everything later reads blocks, not texts.
 2. Training: in each round every block, from the current weights, goes over all its training texts by mini-batch gradient steps; the
    changes are averaged by how often each block saw each feature, as whole numbers, so that neither the order nor the dealing of
-   blocks matters: the same input in the same partitions gives the same model. Rounds (``rounds_for``), the batch (``batch_for``) and
-   the buckets of the features (``bits_for``) follow the number of training tokens. Weights are what is broadcast; at most
-   2^``MAX_BITS`` rows of each softmax.
+   blocks matters: the same input in the same partitions gives the same model. Rounds go on, at every size, until one takes less than
+   ``LEAST_GAIN`` bits a token off the loss (``gains``). The batch (``batch_for``) and the buckets of the features (``bits_for``) follow
+   the number of training tokens. Weights are what is broadcast; at most 2^``MAX_BITS`` rows of each softmax.
 3. Counts: a block's distinct words and pairs of neighbours go as sorted 64-bit keys with their counts to the parts of the key range,
    one message for each block and part; a part adds the counts and sends each message's sums back. A frequent key is one
    entry a block. There is a part for every ``BLOCKS_PER_PART`` blocks. Words of up to 8 bytes have keys of their own
@@ -54,6 +54,7 @@ RATE = 0.3
 MAX_BATCH = 16384
 STEPS = 64  # a block's steps in a round, at least, unless batches would have fewer than 256 tokens
 MIN_ROUNDS, MAX_ROUNDS = 2, 8
+LEAST_GAIN = 0.05  # bits a token
 RANGES = 16
 BLOCKS_PER_PART = 2
 _ONE = 1 << 20  # changes are whole numbers of this fraction
@@ -201,11 +202,13 @@ class Step:
 
     def __init__(self, start: np.ndarray):
         self.w, self.scale, self.seen = start.copy(), np.zeros(len(start), np.float32), np.zeros(len(start), np.int64)
+        self.loss = 0  # -log2 of the answers before each step, a whole number of 1 / _ONE
 
     def learn(self, f: list[np.ndarray], prior: np.ndarray, answer: np.ndarray) -> None:
         """One step; a row's rate falls with its own gradients."""
-        z = shares(self.w, f, prior)
-        z[np.arange(len(answer)), answer] -= 1
+        z, at = shares(self.w, f, prior), np.arange(len(answer))
+        self.loss -= int(np.rint(np.log2(z[at, answer]).sum(dtype=np.float64) * _ONE))
+        z[at, answer] -= 1
         n = len(self.w)
         for one in f:
             self.seen += np.bincount(one, minlength=n)
@@ -228,10 +231,15 @@ def batch_for(tokens: int) -> int:
 
 
 def rounds_for(tokens: int) -> int:
-    """More rounds over a small corpus: all together see about six million tokens, or the corpus twice."""
+    """The rounds that training took when they followed the size. Only a test still calls this; ``gains`` decides now."""
     return int(min(MAX_ROUNDS, max(MIN_ROUNDS, 6_000_000 // max(tokens, 1))))
 
 
+def gains(losses: list[float]) -> bool:
+    """Whether to go on after rounds of these losses: until one takes off less than ``LEAST_GAIN``, as one must, for losses are not negative."""
+    return len(losses) < 2 or losses[-2] - losses[-1] >= LEAST_GAIN
+
+
 def bits_for(tokens: int) -> int:
     """Twice the buckets for four times the tokens."""
     return int(min(MAX_BITS, MIN_BITS + max(0, math.ceil(math.log2(max(tokens, 1) / 2e8) / 2))))
@@ -258,18 +266,21 @@ def train(blocks: DataFrame, tokens: int, leaves: np.ndarray) -> tuple[np.ndarra
     bits = bits_for(tokens)
     size, width = 1 << bits, (1 << bits) // RANGES
     weights, prior = tuple(np.zeros((size, n), np.float32) for n in (CLASSES, SLOTS)), priors(leaves)
-    for _ in range(rounds_for(tokens)):
+    losses: list[float] = []
+    while gains(losses):
         shared = spark.sparkContext.broadcast(weights)
 
         def step(batches, shared=shared):
             start = shared.value
             total = [np.zeros(w.shape, np.int64) for w in start]
             seen = [np.zeros(len(w), np.int64) for w in start]
+            loss = 0
             for batch in batches:
                 for row in each(batch):
                     for k, own in enumerate(learn(Block(row), start, prior, bits)):
                         total[k] += np.rint((own.w - start[k]) * np.float32(_ONE)).astype(np.int64) * own.seen[:, None]
                         seen[k] += own.seen
+                        loss += own.loss
             for k, i in ((k, i) for k in range(len(start)) for i in range(RANGES)):
                 part = slice(i * width, (i + 1) * width)
                 hit = np.flatnonzero(seen[k][part])
@@ -277,14 +288,16 @@ def train(blocks: DataFrame, tokens: int, leaves: np.ndarray) -> tuple[np.ndarra
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([k * RANGES + i], pa.int32()), pa.array([hit.astype(np.int32).tobytes()]), pa.array([planes(seen[k][part][hit])]),
-                            pa.array([planes(total[k][part][hit].reshape(-1))]),
+                            pa.array([planes(total[k][part][hit].reshape(-1))]), pa.array([loss], pa.int64()),
                         ],
-                        names=["range", "hit", "seen", "change"],
+                        names=["range", "hit", "seen", "change", "loss"],
                     )
+                    loss = 0  # once a task
 
         def add(batches):
             total: dict[int, np.ndarray] = {}
             weight: dict[int, np.ndarray] = {}
+            loss = 0
             for batch in batches:
                 for row in each(batch):
                     i, hit = row["range"], np.frombuffer(row["hit"], np.int32)
@@ -292,14 +305,19 @@ def train(blocks: DataFrame, tokens: int, leaves: np.ndarray) -> tuple[np.ndarra
                         total[i], weight[i] = np.zeros((width, (CLASSES, SLOTS)[i // RANGES]), np.int64), np.zeros(width, np.int64)
                     total[i][hit] += words(row["change"]).view(np.int64).reshape(len(hit), -1)
                     weight[i][hit] += words(row["seen"]).view(np.int64)
+                    loss += row["loss"]
             for i in total:
                 mean = (total[i] / np.maximum(weight[i], 1)[:, None] / _ONE).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([mean.tobytes()])], names=["range", "mean"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([mean.tobytes()]), pa.array([loss], pa.int64())], names=["range", "mean", "loss"])
+                loss = 0
 
-        changes = blocks.select(*NAMES).mapInArrow(step, "range int, hit binary, seen binary, change binary").repartition(2 * RANGES, "range")
-        for at, mean in changes.mapInArrow(add, "range int, mean binary").collect():  # one number a weight
+        changes = blocks.select(*NAMES).mapInArrow(step, "range int, hit binary, seen binary, change binary, loss long").repartition(2 * RANGES, "range")
+        whole = 0
+        for at, mean, loss in changes.mapInArrow(add, "range int, mean binary, loss long").collect():  # one number a weight
             k, i = divmod(at, RANGES)
             weights[k][i * width : (i + 1) * width] += np.frombuffer(mean, np.float32).reshape(width, -1)
+            whole += loss
+        losses.append(whole / _ONE / max(int(leaves.sum()), 1))
         shared.unpersist()
     return weights
 

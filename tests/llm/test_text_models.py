@@ -185,6 +185,17 @@ def test_lm_follows_the_size():
     assert [maxent.batch_for(n) for n in (0, 64_000, 10**7)] == [256, 1000, 16384]
 
 
+def test_lm_trains_until_it_gains_no_more_at_any_size(spark):
+    import numpy as np
+
+    blocks, table = encoded(spark, [(i, False, f"s{i % 7} v{i % 5} o{i % 7}") for i in range(400)])
+    leaves = sum(np.bincount(b.cls * maxent.SLOTS + b.slot, b.n_train, maxent.CLASSES * maxent.SLOTS) for b in blocks).reshape(maxent.CLASSES, maxent.SLOTS)
+    small, large = (maxent.train(table.mapInArrow(maxent.encode, maxent.BLOCK), tokens, leaves) for tokens in (1000, 10**8))
+    assert all(np.array_equal(a, b) for a, b in zip(small, large, strict=True))
+    least = maxent.LEAST_GAIN
+    assert [maxent.gains(x) for x in ([], [9.0], [9.0, 8.0], [9.0, 8.0, 8 - least / 2], [9.0, 9.5], [0.0, 0.0])] == [True, True, True, False, False, False]
+
+
 def test_lm_of_no_rows_and_no_training(spark):
     assert maxent.op1(docs(spark, [(1, "a")]).limit(0)).count() == 0
     got = maxent.score(docs(spark, [(1, "a b"), (2, None)]), F.lit(True)).collect()
