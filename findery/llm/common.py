@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -59,6 +60,13 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that no plan needs any more; else it does when the driver happens to collect its garbage."""
+    for _ in range(2):  # the gateway lets go of the last plan in the first
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

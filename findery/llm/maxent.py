@@ -21,7 +21,7 @@ many new pairs as the corpus has pairs seen once.
    the number of training tokens. Weights are what is broadcast; at most 2^``MAX_BITS`` rows of each softmax.
 3. Counts: a block's distinct words and pairs of neighbours go as sorted 64-bit keys with their counts to the parts of the key range,
    one message for each block and part; a part adds the counts and sends each message's sums back. A frequent key is one
-   entry a block. There is a part for every ``BLOCKS_PER_PART`` blocks. Words of up to 8 bytes have keys of their own
+   entry a block. There is a part for every ``BLOCKS_PER_PART`` blocks; a task that is dealt several parts holds one at a time. Words of up to 8 bytes have keys of their own
    among words of their length; longer ones share a key with a chance of about distinct^2 / 2^65.
 4. Scoring: a block and its sums meet (cogroup by block) and its texts are scored in sparse batches.
 
@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from itertools import count
+from itertools import count, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, planes, words
+from .common import forget_shuffles, materialise, mix64, planes, words
 from .hashing import SPACE, strings
 
 BLOCK_BYTES = 6 << 20
@@ -376,6 +376,13 @@ def add_up(batches):
     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, _SUM_TYPES, strict=True)], names=_SUM_NAMES)
 
 
+def part_by_part(batches):
+    """``add_up`` of each part alone: rows come in the order of their parts, and a task may hold several."""
+    rows = (batch.slice(i, 1) for batch in batches for i in range(len(batch)))
+    for _, own in groupby(rows, key=lambda row: row["part"][0].as_py()):
+        yield from add_up(own)
+
+
 _SUM_NAMES = [c.split()[0] for c in SUMS.split(", ")]
 _SUM_TYPES = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]] for c in SUMS.split(", ")]
 
@@ -446,9 +453,13 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         leaves[at] = n
     leaves = leaves.reshape(CLASSES, SLOTS)
     weights = train(blocks, tokens, leaves) if history else None
+    forget_shuffles(spark)
 
     parts = max(12, -(-n_blocks // BLOCKS_PER_PART))
-    sums = materialise(blocks.select(*NAMES).mapInArrow(messages(parts), MESSAGE).repartition(parts, "part").mapInArrow(add_up, SUMS), "sums")
+    sent = blocks.select(*NAMES).mapInArrow(messages(parts), MESSAGE).repartition(parts, "part").sortWithinPartitions("part")
+    sums = materialise(sent.mapInArrow(part_by_part, SUMS), "sums")
+    del sent
+    forget_shuffles(spark)
     facts = sums.where("block is null").groupBy("size").agg(F.sum("n"), F.sum("total"), F.sum("once")).collect()  # a row a power of two
     total, distinct = sum(r[2] for r in facts), sum(r[1] for r in facts)
     once, twice = (next((r[1] for r in facts if r[0] == k), 0) for k in (0, 1))

@@ -137,6 +137,32 @@ def test_lm_counts_and_strength(spark):
     assert 50 * s / (1 + s) + 3 * 40 * s / (40 + s) == pytest.approx(40, rel=1e-6)
 
 
+def test_lm_task_of_many_parts_holds_one_at_a_time(spark):
+    import pyarrow as pa
+
+    _, table = encoded(spark, [(i, i % 5 == 0, f"a b c{i % 7} word{i} a b") for i in range(90)], 4)
+    raw = [row.asDict() for row in table.mapInArrow(maxent.encode, maxent.BLOCK).collect()]
+    sent = pa.Table.from_batches([m for row in raw for m in maxent.messages(9)([pa.RecordBatch.from_pylist([row])])]).sort_by("part")
+    taken = []
+
+    def feed():
+        for batch in sent.to_batches(max_chunksize=1):
+            taken.append(batch["part"][0].as_py())
+            yield batch
+
+    got, ahead = [], []
+    for out in maxent.part_by_part(feed()):
+        got += out.to_pylist()
+        if got[-1]["block"] is not None:
+            ahead.append(taken.index(got[-1]["part"]) + taken.count(got[-1]["part"]) + 1 >= len(taken))
+    assert len(set(taken)) > 3 and all(ahead)
+    answers = lambda rows: sorted((r["part"], r["block"], r["words"], r["pairs"]) for r in rows if r["block"] is not None)
+    whole = [r for out in maxent.add_up(sent.to_batches()) for r in out.to_pylist()]
+    assert answers(got) == answers(whole)
+    facts = lambda rows: [sum(r[c] for r in rows if r["size"] == size) for size in range(9) for c in ("n", "total", "once")]
+    assert facts(got) == facts(whole)
+
+
 @pytest.mark.parametrize("trained", [True, False])
 def test_lm_probabilities_sum_to_one(spark, trained):
     """Over the whole vocabulary, after each of several histories; what is left is for words that training has not seen."""
