@@ -206,21 +206,28 @@ class Step:
 
     def learn(self, f: list[np.ndarray], prior: np.ndarray, answer: np.ndarray) -> None:
         """One step; a row's rate falls with its own gradients."""
-        z, at = shares(self.w, f, prior), np.arange(len(answer))
-        self.loss -= int(np.rint(np.log2(z[at, answer]).sum(dtype=np.float64) * _ONE))
-        z[at, answer] -= 1
-        n = len(self.w)
-        for one in f:
-            self.seen += np.bincount(one, minlength=n)
-        whole = np.rint(z.T * np.float32(_FINE)).astype(np.float64)
-        whole = whole[0::2] + whole[1::2] * float(_NEXT)
-        g = np.empty((z.shape[1], n), np.float32)
-        for c, column in enumerate(whole):
-            total = np.bincount(f[0], column, n)
-            for one in f[1:]:
-                total += np.bincount(one, column, n)
-            upper = np.rint(total * (1.0 / _NEXT))
-            g[2 * c], g[2 * c + 1] = total - upper * _NEXT, upper
+        z, n = shares(self.w, f, prior), len(self.w)
+        at, flat = np.arange(len(answer)) * z.shape[1] + answer, z.reshape(-1)
+        right = flat[at]
+        self.loss -= int(np.rint(np.log2(right).sum(dtype=np.float64) * _ONE))
+        flat[at] = right - 1
+        every = np.concatenate(f)
+        self.seen += np.bincount(every, minlength=n)
+        z *= np.float32(_FINE)
+        np.rint(z, out=z)
+        whole = z[:, 1::2].astype(np.float64)
+        whole *= _NEXT
+        whole += z[:, 0::2]
+        g, column = np.empty((z.shape[1], n), np.float32), np.empty((len(f), len(z)))
+        for c in range(whole.shape[1]):
+            column[:] = whole[:, c]
+            total = np.bincount(every, column.reshape(-1), n)
+            upper = total * (1.0 / _NEXT)
+            np.rint(upper, out=upper)
+            g[2 * c + 1] = upper
+            upper *= _NEXT
+            total -= upper
+            g[2 * c] = total
         g *= np.float32(1.0 / _FINE)
         self.scale += np.einsum("ij,ij->j", g, g)
         self.w -= (g * (RATE / np.sqrt(1e-8 + self.scale))).T
@@ -410,8 +417,8 @@ class Model:
 
     def softmax(self, k: int, f: list[np.ndarray] | None, prior: np.ndarray, full: np.ndarray, own: np.ndarray) -> np.ndarray:
         """log10 of the probability of ``own`` among the outputs that have words (``full``); without weights by frequency."""
-        p = (shares(self.weights[k], f, prior) if self.weights else np.exp(prior)).astype(np.float64) * full
-        return np.log10(p[np.arange(len(own)), own] / p.sum(1))
+        p = shares(self.weights[k], f, prior) if self.weights else np.exp(prior)
+        return np.log10(p[np.arange(len(own)), own].astype(np.float64) / np.einsum("...j,...j->...", p, full, dtype=np.float64))
 
     def logs(self, b: Block, c: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """log10 p(token | history) of each token; ``c``: the vocabulary's counts, ``pair``: each token's with the one before."""
