@@ -25,24 +25,29 @@ def vocabulary(word_counts: DataFrame, min_frequency: int = MIN_FREQUENCY) -> Da
 
 
 def deletes(words: DataFrame, edits: int = BUILD_EDITS, prefix: int = PREFIX) -> DataFrame:
-    """form, word: what is left of a word's prefix after up to ``edits`` deletions (rows of ``words``: word)."""
-    level = words.select(F.substring("word", 1, prefix).alias("form"), "word")
-    out = level
-    for _ in range(edits):
-        cut = lambda i: F.concat(F.substring("form", F.lit(1), i - 1), F.substring(F.col("form"), i + 1, F.length("form")))
-        shorter = F.when(F.length("form") > 0, F.transform(F.sequence(F.lit(1), F.length("form")), cut))
-        level = level.select(F.explode(shorter).alias("form"), "word").distinct()
-        out = out.union(level)
-    return out.distinct()
+    """form and the columns of ``words`` (distinct): what is left of a word's prefix after up to ``edits`` deletions.
+
+    A word's forms are made where it is read; nothing is shuffled.
+    """
+    one = lambda f: F.transform(F.sequence(F.lit(1), F.length(f)), lambda i: F.concat(F.substring(f, F.lit(1), i - 1), F.substring(f, i + 1, F.length(f))))
+    shorter = lambda forms: F.array_distinct(F.flatten(F.transform(F.filter(forms, lambda f: F.length(f) > 0), one)))
+    rows, levels = words.withColumn("__0", F.array(F.substring("word", 1, prefix))), ["__0"]
+    for k in range(1, edits + 1):
+        rows = rows.withColumn(f"__{k}", shorter(F.col(levels[-1])))
+        levels.append(f"__{k}")
+    return rows.select(F.explode(F.concat(*levels)).alias("form"), *words.columns)
 
 
 def candidates(queries: DataFrame, vocab: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """token, word, distance, n: vocabulary words within ``max_edits`` of the tokens (rows: token)."""
+    """token, word, distance, n: vocabulary words within ``max_edits`` of the tokens (rows: token).
+
+    Words whose distance is at most k share a form after k deletions in each, so the vocabulary needs no more.
+    """
     asked = queries.select(F.col("token").alias("word")).distinct()
     forms = broadcast_if_small(deletes(asked, max_edits).withColumnRenamed("word", "token"))
-    hits = deletes(vocab.select("word")).join(forms, "form").select("token", "word").distinct()
+    hits = deletes(vocab.select("word", "n"), max_edits).join(forms, "form").select("token", "word", "n").distinct()
     near = hits.withColumn("distance", F.levenshtein("token", "word")).where(F.col("distance") <= max_edits)
-    return near.join(vocab, "word").select("token", "word", "distance", "n")
+    return near.select("token", "word", "distance", "n")
 
 
 def best_words(queries: DataFrame, vocab: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
